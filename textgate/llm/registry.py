@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import grace_dedup, token_counts
-from .common import read_table
+from . import grace_dedup, language_id, license_scan, quality, token_counts
+from .common import fold, read_table
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,16 +17,38 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.groups(read_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = quality.fit(quality.learnable(docs), quality.learnable(labels))
+    found = quality.classify(docs, model)
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(fold("doc_id", 4) != 2), "doc_id", "text", "lang")
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_grace_dedup": op2_grace_dedup,
+    "op6_quality": op6_quality,
+    "op8_language_id": op8_language_id,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle(),
     "op2_grace_dedup": r"""
         WITH n AS (
           SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[ \t\n\x0B\x0C\r]', '', 'g') AS bare
