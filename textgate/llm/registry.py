@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grace_dedup, language_id, license_scan, quality, token_counts
+from . import fingerprints, grace_dedup, language_id, license_scan, quality, token_counts
 from .common import fold, read_table
 
 
@@ -25,6 +25,10 @@ def op2_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.groups(read_table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(read_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = quality.fit(quality.learnable(docs), quality.learnable(labels))
@@ -42,6 +46,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_grace_dedup": op2_grace_dedup,
+    "op5_fingerprints": op5_fingerprints,
     "op6_quality": op6_quality,
     "op8_language_id": op8_language_id,
     "op10_token_counts": op10_token_counts,
