@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, grace_dedup, language_id, license_scan, quality, token_counts
+from . import bagminhash, fingerprints, grace_dedup, html_text, language_id, license_scan, packing, quality, token_counts
 from .common import fold, read_table
 
 
+def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.groups(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +29,20 @@ def op2_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.groups(read_table(spark, sf_dir, "documents"))
 
 
+def packing_files() -> tuple[str, str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), packing_files())
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(read_table(spark, sf_dir, "documents"))
 
@@ -46,9 +64,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_grace_dedup": op2_grace_dedup,
+    "op3_packing": op3_packing,
+    "op4_html_text": op4_html_text,
     "op5_fingerprints": op5_fingerprints,
     "op6_quality": op6_quality,
     "op8_language_id": op8_language_id,
+    "op9_bagminhash": op9_bagminhash,
     "op10_token_counts": op10_token_counts,
 }
 
