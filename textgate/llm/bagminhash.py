@@ -9,11 +9,12 @@ probability that is their weighted Jaccard similarity. All texts of a batch adva
 point at a time, and a process ends once it is later than every slot of its text.
 
 Texts of one multiset are one class. Classes that agree in a band of slots are candidates. First
-every class is checked against the least class of each of its buckets, which ties large groups
-together with as many checks as members; then the pairs of a bucket that are still in different
-components are checked. Buckets beyond ``BUCKET`` classes are dealt anew by a second band that the
-pair must share too, so that a passage that many texts share does not pair them all; what is still
-larger then is paired in full, so that nothing is capped. A check first compares signatures and then the
+every class is checked, in a few rounds, against one class drawn anew for each of its buckets,
+which ties large groups together with as many checks as members; then the pairs of a bucket that
+are still in different components are checked. In buckets beyond ``BUCKET`` classes such a pair must share a second band
+too, and both must have enough shingles in common with any other class of such buckets to be a link
+at all, so that a passage that many texts share does not pair them all; what remains is paired in
+full, so that nothing is capped. A check first compares signatures and then the
 complete multisets; pairs of similarity ``least`` or more are links, and their connected components
 are the groups.
 
@@ -42,9 +43,10 @@ BANDS = 32
 ROWS = 6
 SLOTS = BANDS * ROWS
 LEAST = 0.8
-#: Signatures alone rule a pair out below this share of equal slots: seven deviations under 0.8.
-LEAST_SLOTS = 0.6
+#: Signatures alone rule a pair out below this share of equal slots: five deviations under 0.8.
+LEAST_SLOTS = 0.65
 BUCKET = 48
+STARS = 3
 BATCH_SHINGLES = 400_000
 WORD = re.compile(r"\w+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -222,13 +224,20 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
 
 
+def _apart(buckets: DataFrame, root: DataFrame) -> DataFrame:
+    """(key, class, n, root) of the buckets that hold more than one component."""
+    rows = buckets.join(root.withColumnRenamed("node", "class"), "class", "left")
+    rows = rows.select("key", "class", "n", F.coalesce("root", "class").alias("root"))
+    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(mixed, "key")
+
+
 def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, least: float = LEAST) -> DataFrame:
-    """Verified pairs of classes; every pair of different classes that shares a band is either one,
-    or was checked, or is tied by others."""
+    """Verified pairs of classes: every pair of classes that shares a band is one of them, or was
+    checked, or lies in one component already."""
     rows = classes.select("class", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = written(rows.join(shared, "key"), "buckets")
-    star = written(buckets.where("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct(), "star")
     # one text for every class that is in a bucket with another
     busy = buckets.select("class").distinct().join(classes.select("class", "id", "text_key"), "class")
     text = text_or_empty(text_col)
@@ -236,25 +245,60 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, least
     same = [whole["id"].eqNullSafe(busy["id"]), whole["text_key"] == busy["text_key"]]
     texts = whole.join(busy, same).select("class", "text")
     texts = written(texts.groupBy("class").agg(F.min("text").alias("text")), "texts")
-    found = written(_links(_alike(star, classes), texts, least), "links")
-    root = components(found)
-    # pairs of a bucket that are still apart
-    apart = buckets.join(root.withColumnRenamed("node", "class"), "class", "left").select(
-        "key", "class", "n", F.coalesce("root", "class").alias("root")
-    )
-    mixed = apart.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    apart = written(apart.join(mixed, "key"), "apart")
-    small = apart.where(F.col("n") <= BUCKET).select("key", "class", "root")
-    large = apart.where(F.col("n") > BUCKET).select("key", "class", "root").join(classes.select("class", F.explode("bands").alias("second")), "class")
-    large = large.where("key <> second").select(F.xxhash64("key", "second").alias("key"), "class", "root")
-    cells = small.unionByName(large)
+    apart = buckets.withColumn("root", F.col("class"))
+    found = tried = None
+    for turn in range(STARS):
+        # each bucket's classes against one of them, another in each bucket and round
+        draw = F.struct(F.xxhash64("class", "key", F.lit(turn)).alias("h"), F.col("class").alias("c"), F.col("root").alias("r"))
+        centre = apart.groupBy("key").agg(F.min(draw).alias("centre")).select("key", "centre.c", "centre.r")
+        pairs = apart.join(centre, "key").where("root <> r").select(F.greatest("class", "c").alias("b"), F.least("class", "c").alias("a"))
+        pairs = pairs.select("a", "b").distinct()
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, "pairs")
+        new = _links(_alike(pairs, classes), texts, least)
+        found = written(found.unionByName(new) if turn else new, "links")
+        tried = tried.unionByName(pairs) if turn else pairs
+        apart = written(_apart(buckets, components(found)), "apart")
+    # what is still apart: all pairs that can be links; in large buckets those with a second band
+    small = apart.where(F.col("n") <= BUCKET).select("key", "class", "root", F.lit(0.0).alias("mass"), F.lit(0.0).alias("size"))
+    large = apart.where(F.col("n") > BUCKET).select("key", "class", "root")
+    large = large.join(_shared_mass(texts.join(large.select("class").distinct(), "class"), least), "class")
+    large = large.join(classes.select("class", F.explode("bands").alias("second")), "class").where("key <> second")
+    large = large.select(F.xxhash64("key", "second").alias("key"), "class", "root", "mass", "size")
+    cells = written(small.unionByName(large), "cells")
+    crowd = cells.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    cells = cells.join(crowd, "key")
+    both = F.least("mass", "mass_b")
     pairs = (
-        cells.toDF("key", "a", "root_a").join(cells.toDF("key", "b", "root_b"), "key").where("a < b and root_a <> root_b").select("a", "b")
+        cells.withColumnRenamed("class", "a")
+        .join(cells.select("key", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("mass").alias("mass_b"), F.col("size").alias("size_b")), "key")
+        .where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & (both >= least * (F.col("size") + F.col("size_b") - both)))
+        .select("a", "b")
     )
-    # those that the star has tried need no second check
-    pairs = pairs.distinct().join(star, ["a", "b"], "left_anti")
-    more = written(_links(_alike(pairs, classes), texts, least), "links")
-    return found.unionByName(more)
+    pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    return found.unionByName(_links(_alike(pairs, classes), texts, least))
+
+
+def _shared_mass(texts: DataFrame, least: float) -> DataFrame:
+    """(class, mass, size): shingles of a class, and those of them that another class has as well.
+
+    Two classes can't share more than the lesser mass. Classes without enough of it for any link are
+    left out. Shingles are told apart by 32 bits, which can only raise a mass.
+    """
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, text in zip(b.column("class").to_pylist(), b.column("text").to_pylist(), strict=True):
+                h, n = shingles(text)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(h), pa.string()), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(n.astype(np.int64))],
+                    names=["class", "h", "n"],
+                )
+
+    spread = texts.select("class", "text").mapInArrow(per_batch, "class string, h int, n long")
+    common = spread.groupBy("h").agg(F.count(F.lit(1)).alias("in")).where(F.col("in") > 1).select("h")
+    size = spread.groupBy("class").agg(F.sum("n").cast("double").alias("size"))
+    mass = spread.join(common, "h").groupBy("class").agg(F.sum("n").cast("double").alias("mass"))
+    return mass.join(size, "class").where(F.col("mass") >= least * F.col("size")).select("class", "mass", "size")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
