@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, fingerprints, grace_dedup, html_text, language_id, license_scan, packing, quality, token_counts
+from . import bagminhash, fingerprints, grace_dedup, html_text, language_id, license_scan, mixing, packing, quality, token_counts
 from .common import fold, read_table
 
 
@@ -54,6 +54,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "source", "n_tokens", "weight", "epoch", "block", "position")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(fold("doc_id", 4) != 2), "doc_id", "text", "lang")
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_text": op4_html_text,
     "op5_fingerprints": op5_fingerprints,
     "op6_quality": op6_quality,
+    "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
     "op9_bagminhash": op9_bagminhash,
     "op10_token_counts": op10_token_counts,
