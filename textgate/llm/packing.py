@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 CAPACITY = 2048
-PIECE = 512
+PIECE = 256
 GROUP_TOKENS = 512 * CAPACITY
 END_ID = 1
 #: Below this code point both libraries know the same letters, digits and blanks.
@@ -73,17 +73,10 @@ def encoder(*paths: str | None) -> Encoder:
 
 
 def cuts(n: int, capacity: int, piece: int) -> list[tuple[int, int]]:
-    """(start, length): full sequences, then the rest in pieces of nearly equal length."""
-    full = n // capacity
-    found = [(i * capacity, capacity) for i in range(full)]
-    rest = n - full * capacity
-    parts = -(-rest // piece)
-    at = full * capacity
-    for i in range(parts):
-        size = rest // parts + (i < rest % parts)
-        found.append((at, size))
-        at += size
-    return found
+    """(start, length): full sequences, then pieces; the last of them is as short as it comes and fills gaps."""
+    full = n // capacity * capacity
+    found = [(at, capacity) for at in range(0, full, capacity)]
+    return found + [(at, min(piece, n - at)) for at in range(full, n, piece)]
 
 
 def difference(sizes: list[int], windows: int) -> list[tuple[int, object]]:
