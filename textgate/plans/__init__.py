@@ -1 +1,4 @@
+"""All queries of the engine by name, and their DuckDB statements."""
 
+from . import text_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
