@@ -46,7 +46,7 @@ LEAST = 0.8
 #: Signatures alone rule a pair out below this share of equal slots: five deviations under 0.8.
 LEAST_SLOTS = 0.65
 BUCKET = 48
-STARS = 3
+STARS = 4
 BATCH_SHINGLES = 400_000
 WORD = re.compile(r"\w+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -248,33 +248,33 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, least
     apart = buckets.withColumn("root", F.col("class"))
     found = tried = None
     for turn in range(STARS):
-        # each bucket's classes against one of them, another in each bucket and round
+        # each bucket's classes against two of them, others in each bucket and round
         draw = F.struct(F.xxhash64("class", "key", F.lit(turn)).alias("h"), F.col("class").alias("c"), F.col("root").alias("r"))
-        centre = apart.groupBy("key").agg(F.min(draw).alias("centre")).select("key", "centre.c", "centre.r")
-        pairs = apart.join(centre, "key").where("root <> r").select(F.greatest("class", "c").alias("b"), F.least("class", "c").alias("a"))
+        centres = apart.groupBy("key").agg(F.explode(F.array(F.min(draw), F.max(draw))).alias("centre")) if turn else apart.groupBy("key").agg(F.min(draw).alias("centre"))
+        centres = centres.select("key", "centre.c", "centre.r")
+        pairs = apart.join(centres, "key").where("root <> r").select(F.greatest("class", "c").alias("b"), F.least("class", "c").alias("a"))
         pairs = pairs.select("a", "b").distinct()
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, "pairs")
         new = _links(_alike(pairs, classes), texts, least)
         found = written(found.unionByName(new) if turn else new, "links")
         tried = tried.unionByName(pairs) if turn else pairs
-        apart = written(_apart(buckets, components(found)), "apart")
-    # what is still apart: all pairs that can be links; in large buckets those with a second band
-    small = apart.where(F.col("n") <= BUCKET).select("key", "class", "root", F.lit(0.0).alias("mass"), F.lit(0.0).alias("size"))
-    large = apart.where(F.col("n") > BUCKET).select("key", "class", "root")
-    large = large.join(_shared_mass(texts.join(large.select("class").distinct(), "class"), least), "class")
-    large = large.join(classes.select("class", F.explode("bands").alias("second")), "class").where("key <> second")
-    large = large.select(F.xxhash64("key", "second").alias("key"), "class", "root", "mass", "size")
-    cells = written(small.unionByName(large), "cells")
-    crowd = cells.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    cells = cells.join(crowd, "key")
-    both = F.least("mass", "mass_b")
-    pairs = (
-        cells.withColumnRenamed("class", "a")
-        .join(cells.select("key", F.col("class").alias("b"), F.col("root").alias("root_b"), F.col("mass").alias("mass_b"), F.col("size").alias("size_b")), "key")
-        .where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & (both >= least * (F.col("size") + F.col("size_b") - both)))
-        .select("a", "b")
+        rest = written(_apart(buckets, components(found)), "apart")
+        apart = rest.where(F.col("n") > BUCKET)
+        if not apart.limit(1).count():
+            break
+    # what is still apart: all pairs that can be links, each in the first of its common buckets
+    small = rest.where(F.col("n") <= BUCKET).select("class", "key", "root", *[F.lit(0.0).alias(c) for c in ("mass", "size")], F.lit(1).alias("common"))
+    mass = _shared_mass(texts.join(apart.select("class").distinct(), "class"), least)
+    large = apart.select("class", "key", "root").join(mass, "class").withColumn("common", F.lit(2))
+    cells = small.unionByName(large).join(classes.select("class", "bands"), "class")
+    other = cells.select("key", *[F.col(c).alias(f"{c}_b") for c in ("class", "root", "mass", "size", "bands")])
+    both, bands_ = F.least("mass", "mass_b"), F.array_intersect("bands", "bands_b")
+    pairs = cells.join(other, "key").where(
+        (F.col("class") < F.col("class_b")) & (F.col("root") != F.col("root_b")) & (both >= least * (F.col("size") + F.col("size_b") - both))
+        & (F.size(bands_) >= F.col("common")) & (F.get(bands_, F.lit(0)) == F.col("key"))
     )
-    pairs = written(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs = pairs.select(F.col("class").alias("a"), F.col("class_b").alias("b")).distinct()
+    pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     return found.unionByName(_links(_alike(pairs, classes), texts, least))
 
 
