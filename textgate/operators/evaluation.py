@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.verdicts import LABELS, count_of, ratio, wilson_interval, wilson_lower
+from .ranges import running_sums
 
 BINS = 15
 
@@ -147,8 +148,11 @@ def sweep(rows: DataFrame, p: str = "p_scam", y: str = "y", by: list[str] | None
     """Counts at each distinct score taken as threshold (a row is a hit at scores >= threshold)."""
     by = by or []
     per = rows.groupBy(*by, F.col(p).alias("threshold")).agg(count_of(F.col(y) == 1).alias("pos"), count_of(F.col(y) == 0).alias("neg"))
-    down = Window.partitionBy(*by).orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per = per.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
+    if by:
+        down = Window.partitionBy(*by).orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        per = per.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
+    else:
+        per = running_sums(per, [F.col("threshold").desc()], {"tp": "pos", "fp": "neg"})
     totals = rows.groupBy(*by).agg(count_of(F.col(y) == 1).alias("all_pos"), count_of(F.col(y) == 0).alias("all_neg"))
     joined = per.join(F.broadcast(totals), by) if by else per.join(F.broadcast(totals))
     c = F.col
@@ -183,8 +187,7 @@ def choose_abstention(ledger: DataFrame, scam_at: float) -> DataFrame:
     per = by_score(ledger, "p_safe", movable)
     ends = ledger.sparkSession.createDataFrame([(0.0, 0, 0, 0), (1.0, 0, 0, 0)], "threshold double, m_safe long, m_uncertain long, m_scam long")
     per = per.unionByName(ends).groupBy("threshold").agg(*[F.sum(c).alias(c) for c in movable])
-    below = Window.orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("threshold", *[F.coalesce(F.sum(c).over(below), F.lit(0)).alias(f"u{c[1:]}") for c in movable])
+    per = running_sums(per, ["threshold"], {f"u{c[1:]}": c for c in movable}, inclusive=False)
     totals = ledger.agg(
         *[count_of(c).alias(f"t{n[1:]}") for n, c in movable.items()], *[count_of((F.col("truth") == k) & fixed).alias(f"f_{k.lower()}") for k in LABELS]
     )

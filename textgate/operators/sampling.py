@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import short_hash
+from .ranges import positions
 
 
 def hash_rank(seed: str, id_col: str = "id") -> Column:
@@ -70,26 +71,12 @@ def quota_sample(rows: DataFrame, label: str, labels: tuple[str, ...], size: int
 
 
 def spaced_rows(rows: DataFrame, count: int, order: list[str]) -> DataFrame:
-    """Rows at evenly spaced places of an order. Places come from a range-sorted index, not one window."""
+    """Rows at evenly spaced places of an order."""
     n = rows.count()
     if count >= n:
         return rows
     at = [int(i * (n - 1) / (count - 1)) for i in range(count)] if count > 1 else [0]
-    return indexed(rows, order).where(F.col("place").isin(at)).drop("place")
-
-
-def indexed(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Column place: the row's position from 0 in the order. Sorted ranges are counted, then numbered."""
-    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = rows.repartitionByRange(int(parts), *order).withColumn("__part", F.spark_partition_id())
-    from ..storage import written
-
-    dealt = written(dealt, "ranges")
-    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).select("__part", "__start")
-    numbered = dealt.withColumn("__rn", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    return numbered.join(F.broadcast(starts), "__part").withColumn("place", F.col("__start") + F.col("__rn") - 1).drop("__part", "__start", "__rn")
+    return positions(rows, order).where(F.col("place").isin(at)).drop("place")
 
 
 def repeated(rows: DataFrame, times: Column, seed: str, id_col: str = "id") -> DataFrame:
