@@ -184,3 +184,20 @@ def test_temperature(spark):
     y = [["SAFE", "UNCERTAIN", "SCAM"][rng.choice(3, p=q)] for q in p]
     df = spark.createDataFrame([(t, *map(float, r)) for t, r in zip(y, z, strict=True)], "truth string, a double, b double, c double")
     assert sq.temperature(df, "truth", {"SAFE": "a", "UNCERTAIN": "b", "SCAM": "c"}) == pytest.approx(2, rel=0.25)
+
+
+def test_workbook_and_digests(spark, tmp_path):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = f'<worksheet {main}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row><c r="A2" t="inlineStr"><is><t>hello</t></is></c><c r="B2"><v>7</v></c></row><row><c r="B3"><v>8</v></c></row></sheetData></worksheet>'
+    data = sinks.zipped({
+        "xl/workbook.xml": f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="One" r:id="r1"/></sheets></workbook>'.encode(),
+        "xl/_rels/workbook.xml.rels": b'<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f"<sst {main}><si><t>text</t></si><si><t>n</t></si></sst>".encode(), "xl/worksheets/s.xml": sheet.encode(),
+    })
+    sinks.write_bytes(spark, str(tmp_path / "b.xlsx"), data)
+    rows = readers.read_xlsx(spark, str(tmp_path / "b.xlsx"), ("One",), ("text", "n")).collect()
+    assert [tuple(r) for r in rows] == [("hello", "7", "One")]
+    import hashlib
+
+    found = readers.verified(spark, str(tmp_path / "b.xlsx"), {"b.xlsx": hashlib.sha256(data).hexdigest()}).first()
+    assert found.matches and not readers.verified(spark, str(tmp_path / "b.xlsx"), {}).first().matches

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import dialogue as dl
 from ..functions import signals as sg
+from ..functions import text as tx
 from ..functions import verdicts as vd
 from ..operators import evaluation as ev
 from ..operators import sampling
 from ..operators import sequential as sq
+from ..sources import readers, sinks
 from .fixtures import MESSAGES, SAFE_AT, SCAM_AT, ledger, with_
-from .more_queries import LINES, lines, signalled
+from .more_queries import LINES, lines, scratch, signalled
 from .registry import query
 from .text_queries import FAM, family
 
@@ -257,11 +259,83 @@ def x07(t):
 
 @query("k02_manifest", M + "SELECT source, count(*) AS n FROM m GROUP BY source")
 def k02(t):
-    from ..sources import sinks
-    from .more_queries import scratch
-
     path = scratch(t, "manifest")
     sinks.write_manifest(t.m.groupBy("source").agg(F.count(F.lit(1)).alias("n")), path)
     rows = t.spark.read.schema("counts array<struct<source:string,n:long>>, rows long").json(path)
     return rows.select(F.explode("counts").alias("c")).select("c.source", "c.n")
 
+
+
+# files and registries
+
+
+@query("s02_zip_csv", "SELECT r_name, CAST(r_regionkey AS VARCHAR) AS r_regionkey FROM region")
+def s02(t):
+    rows = t.region.select("r_regionkey", "r_name").collect()  # the five rows of a fixed dimension
+    lines = "\ufeffr_regionkey,r_name\n" + "".join(f"{r.r_regionkey},{r.r_name}\n" for r in rows)
+    path = scratch(t, "zip") + ".zip"
+    sinks.write_bytes(t.spark, path, sinks.zipped({"rows.csv": lines.encode(), "notes.txt": b"no rows"}))
+    return readers.read_zip_csv(t.spark, path, "r_regionkey string, r_name string").select("r_name", "r_regionkey")
+
+
+@query("s26_text_and_audio", M + "SELECT id, CASE WHEN label = 'SAFE' THEN id ELSE source || chr(10) || id END AS text, CASE WHEN label = 'SAFE' THEN 0 ELSE 1 END AS audios FROM m")
+def s26(t):
+    part = lambda kind, text, audio: F.struct(F.lit(kind).alias("type"), text.alias("text"), audio.alias("audio"))
+    none = F.lit(None).cast("string")
+    parts = F.array(part("text", F.col("source"), none), part("audio", none, F.lit("a.wav")), part("text", F.col("id"), none))
+    content = F.when(F.col("label") == "SAFE", F.concat(F.lit('"'), "id", F.lit('"'))).otherwise(F.to_json(parts))
+    return t.m.select("id", content.alias("content")).select("id", readers.flatten_content("content").alias("x")).select("id", "x.text", "x.audios")
+
+
+@query("s29_verified_inputs")
+def s29(t):
+    return readers.verified(t.spark, f"{t.sf_dir}/region.parquet", {"region.parquet": "0" * 64})
+
+
+@query("k01_written_rows", M + "SELECT count(*) AS n FROM m")
+def k01(t):
+    return t.spark.createDataFrame([(sinks.write_jsonl(t.m, scratch(t, "jsonl")),)], "n long")
+
+
+@query("k04_audit_csv", M + "SELECT id, label, '' AS auditor_label FROM m")
+def k04(t):
+    path = scratch(t, "audit")
+    sinks.write_audit(t.m.select("id", "label"), path)
+    rows = readers.read_csv(t.spark, path, "id string, label string, auditor_label string, notes string")
+    return rows.select("id", "label", F.coalesce("auditor_label", F.lit("")).alias("auditor_label"))
+
+
+@query("k06_deterministic_zip", "SELECT true AS same")
+def k06(t):
+    a, b = sinks.zipped({"x": b"1", "y": b"2"}), sinks.zipped({"y": b"2", "x": b"1"})
+    return t.spark.createDataFrame([(a == b,)], "same boolean")
+
+
+@query("k08_score_cache_miss", "SELECT true AS missed")
+def k08(t):
+    path = scratch(t, "scores")
+    sinks.write_scores(t.l().select("id", "p_scam"), path, "run-a")
+    return t.spark.createDataFrame([(readers.cached_scores(t.spark, path, "run-b") is None,)], "missed boolean")
+
+
+@query("d08_x03_policies")
+def d08(t):
+    return t.dlg.select("conv_id", *[dl.prepared(F.col("text"), p).alias(p.replace("-", "_")) for p in dl.POLICIES])
+
+
+@query("x02_transforms", M + "SELECT id, length(regexp_replace(text, '[ :—-]+', ' . ', 'g')) AS punctuation FROM m")
+def x02(t):
+    return t.m.select("id", F.length(tx.TRANSFORMS["punctuation"](F.col("text"), F.col("label"))).alias("punctuation"))
+
+
+@query("x04_blend_methods")
+def x04(t):
+    p = [F.col(c) for c in ("p_safe", "p_uncertain", "p_scam")]
+    return t.l().select("id", *[vd.blend(p, p[::-1], F.lit(0.5), m)[0].alias(m) for m in ("arithmetic", "log_linear")])
+
+
+@query("x05_metric_callback")
+def x05(t):
+    rows = t.l().select("id", "truth", "verdict", "argmax")
+    right = lambda c: F.sum(F.when(F.col(c) == F.col("truth"), F.col("weight")).otherwise(0)) / F.sum("weight")
+    return ev.poisson_bootstrap(rows, "id", ["truth", "verdict", "argmax"], lambda r: r.groupBy("iteration").agg((right("verdict") - right("argmax")).alias("d")), 50, 7)

@@ -62,6 +62,59 @@ def read_zip_csv(spark: SparkSession, path: str, schema: str, members: str = ".c
     return files.mapInPandas(unpacked, f"{schema}, member string")
 
 
+def read_xlsx(spark: SparkSession, path: str, sheets: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
+    """Rows of named sheets of XLSX workbooks, a workbook a task; rows that lack a column are left out.
+
+    A workbook is a ZIP of XML: sheet names, shared strings and cells are read from there.
+    """
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                for sheet, table in sheet_tables(content, sheets):
+                    head = {name: at for at, name in table.pop(0).items()} if table else {}
+                    if set(columns) <= set(head):
+                        found = [[r.get(head[c], "") for c in columns] for r in table]
+                        frame = pd.DataFrame([r for r in found if all(r)], columns=list(columns))
+                        yield frame.assign(sheet=sheet)
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(rows, ", ".join(f"`{c}` string" for c in columns) + ", sheet string")
+
+
+def sheet_tables(content: bytes, wanted: tuple[str, ...]) -> Iterator[tuple[str, list[dict[str, str]]]]:
+    """(name, rows) of the wanted sheets; a row maps column letters to texts."""
+    import re
+    from xml.etree import ElementTree
+
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    link = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    text = lambda e: "".join(t.text or "" for t in e.iter(f"{space}t"))
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared = [text(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+        targets = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{space}sheet"):
+            if sheet.get("name") not in wanted:
+                continue
+            table = []
+            for row in ElementTree.fromstring(z.read("xl/" + targets[sheet.get(link)].removeprefix("/xl/"))).iter(f"{space}row"):
+                cells = {}
+                for c in row.iter(f"{space}c"):
+                    value = c.findtext(f"{space}v") or ""
+                    kind = c.get("t")
+                    cells[re.match("[A-Z]+", c.get("r"))[0]] = shared[int(value)] if kind == "s" else text(c) if kind == "inlineStr" else value
+                table.append(cells)
+            yield sheet.get("name"), table
+
+
+def verified(spark: SparkSession, path: str, sha256: dict[str, str]) -> DataFrame:
+    """name, sha256, matches: the digests of input files against the expected ones."""
+    files = spark.read.format("binaryFile").load(path)
+    found = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    expected = F.create_map(*[F.lit(x) for pair in sha256.items() for x in pair]) if sha256 else F.create_map().cast("map<string,string>")
+    return found.withColumn("matches", F.coalesce(F.try_element_at(expected, F.col("name")) == F.col("sha256"), F.lit(False)))
+
+
 def read_references(spark: SparkSession, pattern: str, schema: T.StructType | str) -> DataFrame:
     """All JSON Lines files of a pattern with their file's name, but those named for quarantine."""
     rows = spark.read.schema(schema).json(pattern).withColumn("file", F.col("_metadata.file_name"))

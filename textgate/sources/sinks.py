@@ -25,3 +25,30 @@ def write_audit(rows: DataFrame, path: str, blank: tuple[str, ...] = ("auditor_l
 
 def write_scores(scores: DataFrame, path: str, identity: str) -> None:
     scores.withColumn("identity", F.lit(identity)).write.mode("overwrite").parquet(path)
+
+
+def zipped(members: dict[str, bytes]) -> bytes:
+    """A ZIP whose bytes depend on its members alone: sorted names, fixed times and modes."""
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name in sorted(members):
+            info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+            info.compress_type, info.external_attr, info.create_system = zipfile.ZIP_DEFLATED, 0o644 << 16, 3
+            z.writestr(info, members[name])
+    return out.getvalue()
+
+
+def write_bytes(spark, path: str, data: bytes) -> None:  # noqa: ANN001
+    """A small file through the file system that the path names, complete under its name or not there."""
+    jvm = spark.sparkContext._jvm
+    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = fs.create(part, True)
+    stream.write(bytearray(data))
+    stream.close()
+    fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"could not move {path} into place")
