@@ -5,7 +5,8 @@ header, footer, sidebar, form, advert, notice, comments), its link density, its
 stop-word density decide whether it is text, boilerplate or undecided. In the second pass the
 undecided blocks - short ones, headings, those of middling density - take the label of the nearest
 decided neighbours: of both where they agree, else of the nearer one. Where a page marks its
-article, neighbours are looked for inside it, and undecided blocks without any stay.
+article, blocks outside it and lists of links inside it are boilerplate, and the neighbours that
+count for its undecided blocks are its own text, so they stay.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; markup that is
 never closed runs to the end of its parent or of the page; a page without any decided block keeps
@@ -36,7 +37,7 @@ SINGLE = frozenset({"hr"})
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 BOILER_TAGS = frozenset({"nav", "footer", "aside", "form", "menu", "dialog", "head", "fieldset"})
 BOILER_WORDS = frozenset(
-    "ad ads adsense advert advertisement advertising adverts banner breadcrumb breadcrumbs byline comment commentform commentlist comments "
+    "ad ads adsense advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment commentform commentlist comments "
     "consent cookie cookies copyright disclaimer disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices "
     "overlay pager pagination popup promo promotion recommended related replies reply search share sharing sidebar signup skip social "
     "sponsor sponsored subscribe toolbar topbar widget".split()
@@ -199,42 +200,34 @@ def label(found: list[Block]) -> None:
         else:
             b.label = ""
     if kind:
-        near = [b for b in found if not b.boiler and b.kind == kind]
-        by_region: dict[int, list[Block]] = {}
-        for b in near:
-            by_region.setdefault(b.region, []).append(b)
-        for part in by_region.values():
-            _inherit(part, "text")
+        # inside an article, a list of links next to a block does not make that block boilerplate
+        for b in found:
+            b.label = b.label or "text"
+    elif any(b.label for b in found):
+        _inherit(found)
     else:
-        _inherit(found, "" if any(b.label for b in found) else "text")
+        for b in found:
+            b.label = "text"
 
 
-def _inherit(part: list[Block], alone: str) -> None:
-    """Undecided blocks take their nearest decided neighbours' label; at an equal distance that of
-    the one before, and in an article text wins. ``alone``: the label where there are none; where it
-    is empty, the ends of the page count as boilerplate."""
-    decided = [b.label for b in part]
-    before, last = [], (alone or "boiler", 1 << 30) if not alone else ("", 0)
+def _inherit(found: list[Block]) -> None:
+    """Undecided blocks take the label of their nearest decided neighbours: of both where they agree,
+    else of the nearer one (of the one before at equal distance); a heading takes that of the block
+    after it. The ends of the page count as boilerplate far away."""
+    decided = [b.label for b in found]
+    far = ("boiler", 1 << 30)
+    before, after, last = [], [far] * len(found), far
     for i, x in enumerate(decided):
-        if x:
-            last = (x, i)
-        before.append(last)
-    after, last = [None] * len(part), ("boiler", 1 << 30) if not alone else ("", 0)
-    for i in range(len(part) - 1, -1, -1):
-        if decided[i]:
-            last = (decided[i], i)
+        last = (x, i) if x else last
+        before.append(last if last != far else ("boiler", -(1 << 30)))
+    last = far
+    for i in range(len(found) - 1, -1, -1):
+        last = (decided[i], i) if decided[i] else last
         after[i] = last
-    for i, b in enumerate(part):
-        if decided[i]:
-            continue
-        (left, at_left), (right, at_right) = before[i], after[i]
-        if alone:  # inside an article, links and the like next to a block do not make it boilerplate
-            b.label = alone
-        elif left == right:
-            b.label = left
-        else:
-            heading = b.tag in HEADINGS
-            b.label = right if heading or abs(at_right - i) < abs(i - at_left) else left
+    for i, b in enumerate(found):
+        if not decided[i]:
+            (left, at_left), (right, at_right) = before[i], after[i]
+            b.label = right if b.tag in HEADINGS or at_right - i < i - at_left else left
 
 
 def main_text(page: str | None) -> str:

@@ -95,7 +95,9 @@ def exponent(
     return found, spent(*m[1:])[1]
 
 
-def _plan(rows: DataFrame, repeat_limit, target_entropy, budget, block_tokens, seed) -> DataFrame:  # noqa: ANN001
+def _plan(
+    rows: DataFrame, repeat_limit: float | None, target_entropy: float | None, budget: float | None, block_tokens: int, seed: int
+) -> DataFrame:
     """Of each source: its weight, passes, number of blocks, and where its last pass ends.
 
     rows: (source, key, n) of all rows; written before, as it is read several times.
@@ -104,7 +106,8 @@ def _plan(rows: DataFrame, repeat_limit, target_entropy, budget, block_tokens, s
     total = stats.agg(F.sum("tokens")).first()[0]
     shares = stats.select("source", "tokens", (F.col("tokens") / F.lit(float(total or 1))).alias("p"))
     if not total:
-        return shares.select("source", F.lit(0.0).alias("weight"), *[F.lit(0).cast("long").alias(c) for c in ("whole", "blocks")], F.lit(0.0).alias("passes"), F.lit(0).cast("long").alias("end_block"), F.lit(0.0).alias("end_chance"))
+        none = {"weight": 0.0, "whole": 0, "passes": 0.0, "blocks": 0, "end_block": 0, "end_chance": 0.0}
+        return shares.select("source", *[F.lit(v).cast("double" if isinstance(v, float) else "long").alias(c) for c, v in none.items()])
     a, spent = exponent(shares, repeat_limit, target_entropy, budget, float(total))
     z = shares.agg(F.sum(F.pow("p", F.lit(a)))).first()[0]
     plan = shares.withColumn("weight", F.pow("p", F.lit(a)) / F.lit(z)).withColumn("passes", F.col("weight") * F.lit(spent) / F.col("tokens"))
@@ -135,10 +138,9 @@ def _plan(rows: DataFrame, repeat_limit, target_entropy, budget, block_tokens, s
 
 def _joined(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of the table of sources, null sources included."""
-    small = sources.count() <= SENT_SOURCES
     right = sources.withColumnRenamed("source", "__source")
-    right = F.broadcast(right) if small else right
-    return rows.join(right, rows["source"].eqNullSafe(right["__source"] if not small else F.col("__source")), how).drop("__source")
+    right = F.broadcast(right) if sources.count() <= SENT_SOURCES else right
+    return rows.join(right, F.col("source").eqNullSafe(F.col("__source")), how).drop("__source")
 
 
 def mix(
