@@ -19,6 +19,19 @@ def test_exact_mcnemar():
     assert ev.exact_mcnemar(11, 2) == 0.0224609375
 
 
+def test_entropy(spark):
+    import math
+
+    from textgate.functions.text import lexical_features
+
+    text = "Hello, hello WORLD 12345 aa!!"
+    got = spark.createDataFrame([(text,)], "t string").select(*[c.alias(n) for n, c in lexical_features(F.col("t")).items()]).first()
+    low = text.lower()
+    assert got.entropy == pytest.approx(-sum(low.count(c) / len(low) * math.log2(low.count(c) / len(low)) for c in set(low)))
+    assert (got.longest_digit_run, got.n_words, got.exclamations) == (5, 5, 2)
+    assert got.repeats == sum(a == b for a, b in zip(text, text[1:]))
+
+
 def test_largest_remainder():
     assert sampling.largest_remainder({"SAFE": 1746, "UNCERTAIN": 41, "SCAM": 587}, 300) == {"SAFE": 210, "UNCERTAIN": 14, "SCAM": 76}
     with pytest.raises(ValueError):
@@ -78,8 +91,9 @@ def test_components_against_union_find(spark):
         x, y = top(a), top(b)
         parent[max(x, y)] = min(x, y)
     nodes = spark.range(400).withColumnRenamed("id", "node")
-    got = near.components(nodes, spark.createDataFrame(edges, "a long, b long")).collect()
-    assert len(got) == 400 and all(r.root == top(r.node) for r in got)
+    for limit in (0, 10_000):
+        got = near.components(nodes, spark.createDataFrame(edges, "a long, b long"), in_one_task=limit).collect()
+        assert len(got) == 400 and all(r.root == top(r.node) for r in got)
 
 
 def test_near_families_by_brute_force(spark):

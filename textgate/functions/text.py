@@ -213,11 +213,10 @@ def lexical_features(text: Column) -> dict[str, Column]:
     chars, words = F.length(text), F.split(F.trim(F.regexp_replace(text, SPACES, " ")), " ")
     count = lambda p: F.regexp_count(text, F.lit(p))
     safe = lambda n: F.greatest(n, F.lit(1))
-    letters = F.filter(F.split(F.lower(text), ""), lambda c: c != "")
-    of = F.aggregate(
-        F.array_distinct(letters), F.lit(0.0),
-        lambda s, c: s - (F.size(F.filter(letters, lambda x: x == c)) / chars) * F.log2(F.size(F.filter(letters, lambda x: x == c)) / chars),
-    )
+    lowered = F.lower(text)
+    letters = F.filter(F.array_distinct(F.split(lowered, "")), lambda c: c != "")
+    shares = F.transform(letters, lambda c: (F.length(lowered) - F.length(F.replace(lowered, c, F.lit("")))) / F.length(lowered))
+    of = F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log2(p))
     n = word_count(text)
     return {
         "n_chars": chars.cast("long"), "n_words": n.cast("long"), "mean_word": (F.length(F.replace(F.array_join(words, ""), F.lit(" "), F.lit(""))) / safe(n)),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from ..functions.text import family_skeleton, short_hash, split_for_family
 from ..storage import written
 
 RADIUS = 6
+EDGES_IN_ONE_TASK = 500_000
 
 
 def signatures(rows: DataFrame, text: str = "text", exact: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -38,10 +42,40 @@ def hamming_pairs(left: DataFrame, right: DataFrame | None = None, key: str = "s
     return near.unionByName(same)
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
-    """(node, root): the least node of each component. Labels go to neighbours and are then looked up
-    once more (pointer jumping), so that rounds grow with the logarithm of a component's diameter."""
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least node of each component of one task's edges, by union and path halving."""
+    above: dict = {}
+    kind = None
+
+    def top(x: object) -> object:
+        while above.setdefault(x, x) != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            low, high = sorted((top(a), top(b)))
+            above[high] = low
+    if kind is not None:
+        names = list(above)
+        yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array([top(x) for x in names], kind)], names=["node", "root"])
+
+
+def components(nodes: DataFrame, edges: DataFrame, node: str = "node", in_one_task: int = EDGES_IN_ONE_TASK) -> DataFrame:
+    """(node, root): the least node of each component.
+
+    Up to ``in_one_task`` edges, which are counted first, one task unites them. Beyond that, labels
+    go to neighbours and are then looked up once more (pointer jumping), so that rounds grow with the
+    logarithm of a component's diameter; each round is a written table.
+    """
     nodes = nodes.select(F.col(node).alias("node"))
+    edges = written(edges.select("a", "b"), "edges")
+    if edges.count() <= in_one_task:
+        kind = edges.schema["a"].dataType.simpleString()
+        labels = edges.coalesce(1).mapInArrow(_united, f"node {kind}, root {kind}")
+        return nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     links = edges.select(F.col("a").alias("x"), F.col("b").alias("y"))
     links = written(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct(), "links")
     labels = written(links.select(F.col("x").alias("node")).distinct().withColumn("root", F.col("node")), "labels")
