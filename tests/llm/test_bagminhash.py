@@ -58,3 +58,13 @@ def test_near_copies_in_large_buckets(spark, monkeypatch):
     rows += [row(200 + i, prose(400 + i, 60)) for i in range(40)]
     got = bag.groups(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted([(r.doc_id, r.class_id, r.group_size) for r in got], key=str) == brute(rows)
+
+
+def test_components_in_one_task_and_by_stars(spark):
+    rng = np.random.default_rng(8)
+    ties = [(f"n{a:03d}", f"n{b:03d}") for a, b in rng.integers(0, 150, (110, 2))] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(40)]
+    df = spark.createDataFrame(ties, "a string, b string")
+    one = {tuple(r) for r in bag.components(df).collect()}
+    many = {tuple(r) for r in bag.components(df, 0).collect()}
+    loops = {a for a, b in ties if a == b}
+    assert many <= one and all(n == r and n in loops for n, r in one - many)

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import released, text_or_empty, written
@@ -47,7 +47,9 @@ LEAST = 0.8
 #: that they lose 2 in 10,000 pairs of similarity 0.8 and 1 in 100,000 of 0.82.
 LEAST_SLOTS = 0.7
 BUCKET = 48
-STARS = 4
+STARS = 3
+#: So many links (of two 32-character names) at most are united in one task.
+LINKS_IN_ONE_TASK = 500_000
 BATCH_SHINGLES = 400_000
 WORD = re.compile(r"\w+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -132,7 +134,7 @@ def _class_key(found: tuple[np.ndarray, np.ndarray]) -> str:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text_key, class, bands, slots (8 bits of each slot); a narrow map."""
+    """id, text_key, class, bands, slots (8 bits of each slot, eight slots a long); a narrow map."""
     kind = docs.schema[id_col].dataType.simpleString()
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
@@ -153,27 +155,26 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(first, at - first), b.column(1).slice(first, at - first), pa.array(map(_class_key, held), pa.string()),
-                        pa.array(list(keys), pa.list_(pa.int64())), pa.array([x.tobytes() for x in small], pa.binary()),
+                        pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(small.view(np.int64)), pa.list_(pa.int64())),
                     ],
                     names=["id", "text_key", "class", "bands", "slots"],
                 )
 
-    return rows.mapInArrow(per_batch, f"id {kind}, text_key long, class string, bands array<long>, slots binary")
+    return rows.mapInArrow(per_batch, f"id {kind}, text_key long, class string, bands array<long>, slots array<long>")
 
 
-def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes whose signatures don't rule them out."""
-    slots = classes.select("class", "slots")
-    both = pairs.join(slots.toDF("a", "slots_a"), "a").join(slots.toDF("b", "slots_b"), "b")
+def _equal_slots(x: str, y: str) -> Column:
+    """The share of equal slots of two columns of packed slots, eight bits each."""
 
-    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(n).to_pylist()), np.uint8).reshape(-1, SLOTS) for n in ("slots_a", "slots_b"))
-                keep = pa.array((x == y).mean(axis=1) >= LEAST_SLOTS)
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+    def differ(j: Column) -> Column:
+        """How many of eight slots differ: the bits of each byte of the exclusive or, or-ed together."""
+        z = F.get(x, j).bitwiseXOR(F.get(y, j))
+        for shift in (4, 2, 1):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, shift))
+        return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
 
-    return both.select("a", "b", "slots_a", "slots_b").mapInArrow(per_batch, "a string, b string")
+    places = F.sequence(F.lit(0), F.lit(SLOTS // 8 - 1))
+    return 1 - F.aggregate(places, F.lit(0), lambda n, j: n + differ(j)) / F.lit(SLOTS)
 
 
 def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -194,12 +195,32 @@ def _links(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(per_batch, "a string, b string")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root): the least node of each node's connected component, by large and small stars.
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    above: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = above[y]
+            x = y
+        return x
 
-    Every round is a written table; a round costs joins on nodes, which Spark splits where one node
-    has many links. Rounds end when the links no longer change.
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = sorted((top(a), top(b)))
+            above[y] = x
+    yield pa.RecordBatch.from_arrays([pa.array(list(above), pa.string()), pa.array([top(x) for x in above], pa.string())], names=["node", "root"])
+
+
+def components(links: DataFrame, in_one_task: int = LINKS_IN_ONE_TASK) -> DataFrame:
+    """(node, root): the least node of each node's connected component.
+
+    Up to ``in_one_task`` links, which are counted first, one task unites them. Beyond that, large
+    and small stars alternate: every round is a written table and costs joins on nodes, which Spark
+    splits where one node has many links; rounds end when the links no longer change.
     """
+    links = written(links.select("a", "b"), "ties")
+    if links.count() <= in_one_task:
+        return links.coalesce(1).mapInArrow(_united, "node string, root string")
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = _state(edges)
     while True:
@@ -246,39 +267,40 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, least
     same = [whole["id"].eqNullSafe(busy["id"]), whole["text_key"] == busy["text_key"]]
     texts = whole.join(busy, same).select("class", "text")
     texts = written(texts.groupBy("class").agg(F.min("text").alias("text")), "texts")
-    apart = buckets.withColumn("root", F.col("class"))
+    slots = classes.select("class", "slots")
+    apart = buckets.withColumn("root", F.col("class")).join(slots, "class")
     found = tried = None
     for turn in range(STARS):
         # each bucket's classes against two of them, others in each bucket and round
-        draw = F.struct(F.xxhash64("class", "key", F.lit(turn)).alias("h"), F.col("class").alias("c"), F.col("root").alias("r"))
+        draw = F.struct(F.xxhash64("class", "key", F.lit(turn)).alias("h"), F.col("class").alias("c"), F.col("root").alias("r"), F.col("slots").alias("s"))
         centres = apart.groupBy("key").agg(F.explode(F.array(F.min(draw), F.max(draw))).alias("centre")) if turn else apart.groupBy("key").agg(F.min(draw).alias("centre"))
-        centres = centres.select("key", "centre.c", "centre.r")
-        pairs = apart.join(centres, "key").where("root <> r").select(F.greatest("class", "c").alias("b"), F.least("class", "c").alias("a"))
+        centres = centres.select("key", "centre.c", "centre.r", "centre.s")
+        pairs = apart.join(centres, "key").where((F.col("root") != F.col("r")) & (_equal_slots("slots", "s") >= LEAST_SLOTS)).select(F.greatest("class", "c").alias("b"), F.least("class", "c").alias("a"))
         pairs = pairs.select("a", "b").distinct()
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, "pairs")
-        new = _links(_alike(pairs, classes), texts, least)
+        new = _links(pairs, texts, least)
         found = written(found.unionByName(new) if turn else new, "links")
         tried = tried.unionByName(pairs) if turn else pairs
         rest = written(_apart(buckets, components(found)), "apart")
-        pairs = new = centres = None
+        pairs = new = centres = draw = None
         released(docs.sparkSession)
-        apart = rest.where(F.col("n") > BUCKET)
+        apart = rest.where(F.col("n") > BUCKET).join(slots, "class")
         if not apart.limit(1).count():
             break
     # what is still apart: all pairs that can be links, each in the first of its common buckets
     small = rest.where(F.col("n") <= BUCKET).select("class", "key", "root", *[F.lit(0.0).alias(c) for c in ("mass", "size")], F.lit(1).alias("common"))
     mass = _shared_mass(texts.join(apart.select("class").distinct(), "class"), least)
     large = apart.select("class", "key", "root").join(mass, "class").withColumn("common", F.lit(2))
-    cells = small.unionByName(large).join(classes.select("class", "bands"), "class")
-    other = cells.select("key", *[F.col(c).alias(f"{c}_b") for c in ("class", "root", "mass", "size", "bands")])
+    cells = small.unionByName(large).join(classes.select("class", "bands", "slots"), "class")
+    other = cells.select("key", *[F.col(c).alias(f"{c}_b") for c in ("class", "root", "mass", "size", "bands", "slots")])
     both, bands_ = F.least("mass", "mass_b"), F.array_intersect("bands", "bands_b")
     pairs = cells.join(other, "key").where(
         (F.col("class") < F.col("class_b")) & (F.col("root") != F.col("root_b")) & (both >= least * (F.col("size") + F.col("size_b") - both))
-        & (F.size(bands_) >= F.col("common")) & (F.get(bands_, F.lit(0)) == F.col("key"))
+        & (F.size(bands_) >= F.col("common")) & (F.get(bands_, F.lit(0)) == F.col("key")) & (_equal_slots("slots", "slots_b") >= LEAST_SLOTS)
     )
     pairs = pairs.select(F.col("class").alias("a"), F.col("class_b").alias("b")).distinct()
     pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    return found.unionByName(_links(_alike(pairs, classes), texts, least))
+    return found.unionByName(_links(pairs, texts, least))
 
 
 def _shared_mass(texts: DataFrame, least: float) -> DataFrame:
