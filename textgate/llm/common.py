@@ -1,49 +1,20 @@
-"""What the operators of this subpackage share: reading tables, written intermediates, row counts."""
+"""What the operators of this subpackage share: tables, written intermediates, folds."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, written  # noqa: F401
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder, through Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset (tests in local mode,
-    where driver and executor are one process) a temporary folder is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="textgate-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read again.
-
-    This cuts the lineage: what follows does not compute ``df`` again, and it survives the loss
-    of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/textgate/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def released(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of finished rounds, which it does once nothing refers to them."""
     gc.collect()

@@ -156,7 +156,7 @@ def fit(learn: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows
     if not n:
         return train([])
     share = min(1.0, sample_rows / n)
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)
     drawn = known.where(draw).select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).cast("string").alias("text"),

@@ -12,7 +12,7 @@ output to a probability.
 
 Defined cases: a null text is an empty text and gets the score of its (zero) statistics; without
 any label 1 to learn from every score is the prior (1 where nothing is known); a document with
-several labels counts once for each; null labels and ids are left out of learning; repeated rows
+several labels has the more frequent one (1 where they tie); null labels and ids are left out of learning; repeated rows
 give repeated results; an empty table gives no rows.
 """
 
@@ -165,16 +165,17 @@ def fit(
 
     Statistics are made on executors for the sampled rows; the driver collects those alone.
     """
-    key = F.col(id_col).cast("string")
-    draw = F.pmod(F.xxhash64(key), F.lit(1_000_003))
-    marks = labels.select(key.alias("k"), F.col(label_col).cast("int").alias("y"), draw.alias("d")).where("k is not null and y is not null")
-    texts = docs.select(key.alias("k"), F.col(text_col).cast("string").alias("text"), draw.alias("d")).where("k is not null")
+    key, text = F.col(id_col).cast("string"), F.col(text_col).cast("string")
+    draw = lambda *of: F.pmod(F.xxhash64(*of), F.lit(1_000_003)).alias("d")
+    marks = labels.select(key.alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y is not null")
+    marks = marks.groupBy("k").agg((F.avg("y") >= 0.5).cast("int").alias("y")).select("k", "y", draw("k"))
+    texts = docs.select(key.alias("k"), text.alias("text"), draw(key, text)).where("k is not null")
     n_marks, n_texts = marks.count(), texts.count()
 
     def drawn(df: DataFrame, n: int) -> DataFrame:
         return df.where(F.col("d") < F.lit(int(min(1.0, sample_rows / max(1, n)) * 1_000_003) + 1))
 
-    some = drawn(marks, n_marks).select("k", "y")  # about sample_rows rows: small enough to send to all
+    some = drawn(marks, n_marks).select("k", "y")  # about sample_rows rows, one an id: small enough to send to all
     known = _collected(texts.join(F.broadcast(some), "k"))
     # the draw of the unlabelled rows starts from the other end, so that both samples differ
     free = texts.withColumn("d", F.lit(1_000_002) - F.col("d"))
