@@ -325,7 +325,7 @@ def d08(t):
 
 @query("x02_transforms", M + "SELECT id, length(regexp_replace(text, '[ :—-]+', ' . ', 'g')) AS punctuation FROM m")
 def x02(t):
-    return t.m.select("id", F.length(tx.TRANSFORMS["punctuation"](F.col("text"), F.col("label"))).alias("punctuation"))
+    return t.m.select("id", F.length(tx.TRANSFORMS["punctuation"](F.col("text"), F.col("label"))).cast("long").alias("punctuation"))
 
 
 @query("x04_blend_methods")

@@ -40,7 +40,7 @@ def entry_split_counts(t):
 def p01(t):
     cleaned = tx.clean(F.col("text"))
     return t.m.where(F.length(cleaned) >= 4).select(
-        "id", F.concat("source", F.lit("-"), tx.short_hash(tx.normalized(F.col("text")))).alias("row_id"), F.length(cleaned).alias("chars"),
+        "id", F.concat("source", F.lit("-"), tx.short_hash(tx.normalized(F.col("text")))).alias("row_id"), F.length(cleaned).cast("long").alias("chars"),
         F.when(F.col("label") == "SCAM", "SCAM").otherwise("NONE").alias("kind"),
     )
 
@@ -304,7 +304,7 @@ def j15(t):
 
 @query("u01_priority_union", with_(MESSAGES, BENCHMARK) + "SELECT 0 AS priority, id, length(text) AS n FROM m UNION ALL SELECT 1, id, length(text) FROM b")
 def u01(t):
-    side = lambda d, p: d.select(F.lit(p).alias("priority"), "id", F.length("text").alias("n"))
+    side = lambda d, p: d.select(F.lit(p).alias("priority"), "id", F.length("text").cast("long").alias("n"))
     return side(t.m, 0).unionByName(side(t.b, 1))
 
 
@@ -370,7 +370,7 @@ def w04(t):
 
 @query("w05_round_robin", with_(MESSAGES, "r AS (SELECT *, row_number() OVER (PARTITION BY source, label ORDER BY sha256('s5:' || id)) AS depth FROM m)") + "SELECT id, source, label, depth FROM r ORDER BY depth, source, label LIMIT 120")
 def w05(t):
-    return sampling.round_robin(t.m, ["source", "label"], 120, "s5").select("id", "source", "label", "depth")
+    return sampling.round_robin(t.m, ["source", "label"], 120, "s5").select("id", "source", "label", F.col("depth").cast("long").alias("depth"))
 
 
 @query("t03_spaced_rows", with_(MESSAGES, "o AS (SELECT id, row_number() OVER (ORDER BY length(text), id) - 1 AS place, count(*) OVER () AS n FROM m WHERE label IN ('SAFE', 'SCAM'))") + """SELECT id FROM o
@@ -412,7 +412,7 @@ def t11(t):
 @query("s03_first_tab", M + ", x AS (SELECT id, label || chr(9) || text AS line FROM m) SELECT id, split_part(line, chr(9), 1) AS label, length(substr(line, strpos(line, chr(9)) + 1)) AS chars FROM x".replace("WITH", "", 1))
 def s03(t):
     parts = F.split(F.concat_ws("\t", "label", "text"), "\t", 2)
-    return t.m.select("id", parts.alias("p")).where(F.size("p") == 2).select("id", F.get("p", F.lit(0)).alias("label"), F.length(F.get("p", F.lit(1))).alias("chars"))
+    return t.m.select("id", parts.alias("p")).where(F.size("p") == 2).select("id", F.get("p", F.lit(0)).alias("label"), F.length(F.get("p", F.lit(1))).cast("long").alias("chars"))
 
 
 @query("s05_family_scan", with_(MESSAGES, FAM) + "SELECT family_id, min(id) AS id, count(*) AS n FROM f GROUP BY family_id")
