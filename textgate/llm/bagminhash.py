@@ -47,7 +47,7 @@ LEAST = 0.8
 #: that they lose 2 in 10,000 pairs of similarity 0.8 and 1 in 100,000 of 0.82.
 LEAST_SLOTS = 0.7
 BUCKET = 48
-STARS = 3
+STARS = 2
 #: So many links (of two 32-character names) at most are united in one task.
 LINKS_IN_ONE_TASK = 500_000
 BATCH_SHINGLES = 400_000
