@@ -35,7 +35,10 @@ from .common import fold
 SAMPLE_ROWS = 15_000
 STEPS = 600
 RATE = 0.05
-DECAY = 1e-3
+#: Weight decay: a floor, and a part that fades as trusted positives grow in number.
+DECAY, DECAY_OF_ONE = 1e-3, 2.0
+#: Statistics that hardly vary among learning rows must not decide by a phone number's few digits.
+LEAST_SCALE = 0.05
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -114,7 +117,7 @@ def _descend(xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[np.ndarray,
         negative = xu.T @ _sigmoid(fu) / len(xu) - prior * (xp.T @ _sigmoid(fp)) / len(xp)
         rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
         g = prior * positive + negative if rest >= 0 else -negative
-        g = g + DECAY * np.append(w[:-1], 0)
+        g = g + (DECAY + DECAY_OF_ONE / len(xp)) * np.append(w[:-1], 0)
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w -= RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -146,7 +149,7 @@ def train(labelled: np.ndarray, y: np.ndarray, unlabelled: np.ndarray) -> Model:
     if not len(positives) or not len(unlabelled):
         return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.0, 60.0 * (prior >= 0.5) - 30.0, prior)
     all_ = np.vstack([positives, unlabelled])
-    mean, scale = all_.mean(axis=0), all_.std(axis=0) + 1e-6
+    mean, scale = all_.mean(axis=0), np.maximum(all_.std(axis=0), LEAST_SCALE)
     norm = lambda x: np.clip((x - mean) / scale, -8, 8)
     xp, xu = norm(positives), norm(unlabelled)
     if not both:  # positives against unlabelled: the mean score of positives is P(labelled | positive)
