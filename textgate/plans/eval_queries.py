@@ -377,7 +377,7 @@ def m06(t):
 
 
 RM = """SELECT {by} count(*) AS n, round(count(*) FILTER (escalated) / count(*)::DOUBLE, 9) AS escalation_rate, round(count(*) FILTER (truth = 'SAFE' AND verdict = 'SCAM') / greatest(count(*) FILTER (truth = 'SAFE'), 1)::DOUBLE, 9) AS fpr,
-  round(count(*) FILTER (truth = 'SCAM' AND verdict = 'SCAM') / count(*) FILTER (truth = 'SCAM')::DOUBLE, 9) AS recall, {cells} FROM x {group}"""
+  round(CASE WHEN count(*) FILTER (truth = 'SCAM') = 0 THEN 0 ELSE count(*) FILTER (truth = 'SCAM' AND verdict = 'SCAM') / count(*) FILTER (truth = 'SCAM')::DOUBLE END, 9) AS recall, {cells} FROM x {group}"""
 
 
 @query("a17_routed_metrics", TWO + f", x AS (SELECT truth, category, va = 'UNCERTAIN' OR {MARGIN} <= 0.1 AS escalated, CASE WHEN va = 'UNCERTAIN' OR {MARGIN} <= 0.1 THEN vb ELSE va END AS verdict FROM j), c AS ({RM.format(by='category,', cells=CELLS, group='GROUP BY category')}) SELECT category, n, escalation_rate, fpr, recall, round({ACTIVE}, 9) AS macro_f1 FROM c")
