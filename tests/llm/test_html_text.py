@@ -28,3 +28,24 @@ def test_odd_pages(spark):
     want = {1: "", 2: "", 3: "plain text <b>", 4: "a b", 5: "", 6: "<", 8: " ".join(["word word"] * 20000), None: "x"}
     assert [g for g in got if g[0] != 7] == sorted([(p[0] or 0, want[p[0]], len(want[p[0]])) for p in pages if p[0] != 7], key=str)
     assert html_text.extract(df.where("page_id > 99")).collect() == []
+
+
+def test_marked_article_is_only_a_prior():
+    lead, links = PARAGRAPH.replace("first", "lead"), '<ul><li><a href="/a">One story</a></li><li><a href="/b">Another story</a></li></ul>'
+    page = f"""<body><div>Home of news</div><div><a href="/all">All news</a></div><h2>Lead</h2><p>{lead}</p><div>12 May</div><article><h1>Title</h1><div class="share">Share</div>
+    <p>{PARAGRAPH}</p><div class="ad">Ad</div><p>Short.</p><div class="ad">Ad</div><p>{PARAGRAPH}</p>{links}<div>More of these</div>{links}</article>
+    <div>By the desk</div><div>Contact us</div></body>"""
+    found = html_text.blocks(page)
+    html_text.label(found)
+    labels = {b.text: b.label for b in found}
+    # both passes run outside the article: a lead paragraph and its heading stay, short blocks around the article go
+    assert labels["Lead"] == labels[lead] == "text"
+    assert labels["Home of news"] == labels["By the desk"] == labels["Contact us"] == "boiler"
+    # and inside: text next to furniture stays, a caption between two lists of links goes
+    assert labels["Title"] == labels["Short."] == labels[PARAGRAPH] == "text"
+    assert labels["More of these"] == labels["One story"] == labels["Ad"] == labels["Share"] == "boiler"
+
+
+def test_article_of_undecided_blocks_stays():
+    page = f"<nav><a href=x>Home</a></nav><article><h1>Title</h1><p>Short.</p></article><p>{PARAGRAPH}</p><footer>Foot</footer>"
+    assert html_text.main_text(page) == f"Title Short. {PARAGRAPH}"

@@ -4,9 +4,14 @@ A page is cut into blocks at block-level tags. In the first pass a block's place
 header, footer, sidebar, form, advert, notice, comments), its link density, its length and its
 stop-word density decide whether it is text, boilerplate or undecided. In the second pass the
 undecided blocks - short ones, headings, those of middling density - take the label of the nearest
-decided neighbours: of both where they agree, else of the nearer one. Where a page marks its
-article, blocks outside it and lists of links inside it are boilerplate, and the neighbours that
-count for its undecided blocks are its own text, so they stay.
+decided neighbours: of both where they agree, else of the nearer one.
+
+An article (or main region) that a page marks is a prior of both passes. Inside it a low density
+leaves a block undecided, links decide on lists but not on paragraphs and headings, neighbours are
+those of the same region that their own content decided, and where they disagree or are missing the
+block is text. Outside it the same rules hold as on a page without a marked article, so a lead
+paragraph stays; the region's blocks are no text neighbours there, so a credit that
+follows the article does not become text.
 
 Defined cases: a null or empty page, or one without text, gives an empty text; markup that is
 never closed runs to the end of its parent or of the page; a page without any decided block keeps
@@ -187,7 +192,7 @@ def label(found: list[Block]) -> None:
         density = sum(map(STOP_WORDS.__contains__, words)) / len(words)
         linked = b.link_chars / len(b.text)
         inside = bool(kind) and b.kind == kind
-        if b.boiler or kind and not inside:
+        if b.boiler:
             b.label = "boiler"
         elif linked > LINK_DENSITY and not (inside and b.tag in ("p", "blockquote", *HEADINGS)):
             b.label = "boiler"
@@ -200,27 +205,45 @@ def label(found: list[Block]) -> None:
         else:
             b.label = ""
     if kind:
-        # inside an article, a list of links next to a block does not make that block boilerplate
+        decided = [b.label for b in found]
+        regions: dict[int, list[Block]] = {}
         for b in found:
-            b.label = b.label or "text"
+            if b.kind == kind and not b.boiler:
+                regions.setdefault(b.region, []).append(b)
+        for own in regions.values():
+            _inherit_inside(own)
+        _inherit(found, ["boiler" if b.kind == kind else x for b, x in zip(found, decided, strict=True)])
     elif any(b.label for b in found):
-        _inherit(found)
+        _inherit(found, [b.label for b in found])
     else:
         for b in found:
             b.label = "text"
 
 
-def _inherit(found: list[Block]) -> None:
+def _inherit_inside(own: list[Block]) -> None:
+    """Undecided blocks of one marked region are boilerplate between two decided neighbours that are,
+    else text. Furniture by place or class is not among ``own``: it says nothing about what is next to it."""
+    decided = [b.label for b in own]
+    after, last = ["text"] * len(own), "text"
+    for i in range(len(own) - 1, -1, -1):
+        last = decided[i] or last
+        after[i] = last
+    last = "text"
+    for i, b in enumerate(own):
+        last = decided[i] or last
+        if not decided[i]:
+            b.label = "boiler" if last == after[i] == "boiler" else "text"
+
+
+def _inherit(found: list[Block], decided: list[str]) -> None:
     """Undecided blocks take the label of their nearest decided neighbours: of both where they agree,
     else of the nearer one (of the one before at equal distance); a heading takes that of the block
     after it. The ends of the page count as boilerplate far away."""
-    decided = [b.label for b in found]
-    far = ("boiler", 1 << 30)
-    before, after, last = [], [far] * len(found), far
+    before, after, last = [], [("boiler", 1 << 30)] * len(found), ("boiler", -(1 << 30))
     for i, x in enumerate(decided):
         last = (x, i) if x else last
-        before.append(last if last != far else ("boiler", -(1 << 30)))
-    last = far
+        before.append(last)
+    last = ("boiler", 1 << 30)
     for i in range(len(found) - 1, -1, -1):
         last = (decided[i], i) if decided[i] else last
         after[i] = last
