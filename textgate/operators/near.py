@@ -108,6 +108,19 @@ def near_families(rows: DataFrame, label: str = "label", radius: int = RADIUS) -
     return kept, per.where("lo <> hi")
 
 
+def one_per_near_family(rows: DataFrame, label: str = "label", split: str = "split", id_col: str = "id", radius: int = RADIUS, columns: list[str] | None = None) -> DataFrame:
+    """The representative of each near family of one label (``columns`` of it, or all), with family_id and
+    the family's size n: the least row by split (test, validation or dev, train, others) and id. A missing
+    label is a label of its own."""
+    found = clusters(rows, radius=radius)
+    order = F.when(F.col(split) == "test", 0).when(F.col(split).isin("validation", "dev"), 1).when(F.col(split) == "train", 2).otherwise(3)
+    per = found.groupBy("root").agg(
+        F.min(F.struct(label)).alias("lo"), F.max(F.struct(label)).alias("hi"), F.count(F.lit(1)).alias("n"),
+        F.min_by(F.struct(*(columns or rows.columns)), F.struct(order, F.col(id_col), F.col("skeleton_hash"))).alias("kept"),
+    )
+    return per.where("lo = hi").select("kept.*", F.concat(F.lit("near-"), F.col("root")).alias("family_id"), "n")
+
+
 def overlapping(rows: DataFrame, references: DataFrame, radius: int = RADIUS) -> DataFrame:
     """skeleton_hash of rows that are near one of the references."""
     _, left = signatures(rows)

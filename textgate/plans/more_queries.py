@@ -67,8 +67,8 @@ def j11n(t):
 
 @query("a04_near_families")
 def a04(t):
-    kept, _ = near.near_families(t.m.select("id", "text", "label"))
-    return kept.select("id", "family_id", "split", "n")
+    rows = t.m.select("id", "text", "label", tx.split_for_family(F.col("id")).alias("split"))
+    return near.one_per_near_family(rows, columns=["id", "split"]).select("id", "family_id", "split", "n")
 
 
 @query("k03_near_quarantine")
