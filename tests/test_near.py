@@ -71,3 +71,23 @@ def test_query_keeps_one_of_each_family(spark, tmp_path):
     path = folder(spark, tmp_path, [(i, BASE) for i in range(30)] + [(99, "an entirely different sentence about the weather in the hills")], [(0, "x")])
     got = plans.QUERIES["a04_near_families"](spark, path).collect()
     assert sorted(r.n for r in got) == [1, 30]
+
+
+def test_overlap_per_file_by_brute_force(spark, tmp_path):
+    near_base = BASE.replace("today", "now")
+    late = "quite another opening line of more than forty characters before it " + BASE
+    head = BASE[:45] + " and then a long text about mountains, rivers, old bridges, sheep and the weather in the north of the country"
+    texts = list(enumerate([BASE, BASE.upper() + "!", BASE, near_base, late, head, "lone text of its own about nothing at all"]))
+    benchmark = [(0, BASE), (3, "some words that nobody repeats in this place"), (1, near_base), (2, "no message is like this one, not even nearly"), (5, late)]
+    path = folder(spark, tmp_path, texts, benchmark)
+    sig = signed(spark.createDataFrame([(f"m{i}", x) for i, x in texts] + [(f"b{i}", x) for i, x in benchmark], "id string, text string"))
+    normal = lambda x: "".join(c for c in x.lower() if c.isalnum() or c == " ")
+    want = {
+        f"file{f}": (
+            sum(any(normal(x) == normal(y) for j, y in benchmark if j % 3 == f) for _, x in texts),
+            sum(any(near_rows(sig, f"m{i}", f"b{j}") for j, _ in benchmark if j % 3 == f) for i, _ in texts),
+        )
+        for f in range(3)
+    }
+    assert want["file0"][0] == 3 and want["file2"][0] == 1
+    assert {r.file: (r.exact, r.near) for r in plans.QUERIES["j15_overlap_counts"](spark, path).collect()} == want

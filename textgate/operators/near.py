@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.simhash import block_keys, hamming, simhash64
-from ..functions.text import family_skeleton, short_hash, split_for_family
+from ..functions.text import family_skeleton, normalized, short_hash, split_for_family
 from ..storage import written
 
 RADIUS = 6
@@ -128,6 +128,22 @@ def overlapping(rows: DataFrame, references: DataFrame, radius: int = RADIUS) ->
     return hamming_pairs(left, right, radius=radius).select(F.col("a").alias("skeleton_hash")).distinct()
 
 
+def overlap_per_file(rows: DataFrame, references: DataFrame, file: str = "file", radius: int = RADIUS) -> DataFrame:
+    """file, exact, near: of every file of references, how many rows have the normalised text of one of its
+    texts, and how many are near one (those that are equal included)."""
+    tagged, left = signatures(rows)
+    of, right = signatures(references)
+    per = tagged.groupBy("skeleton_hash").agg(F.count(F.lit(1)).alias("n"))
+    pairs = hamming_pairs(left, right, radius=radius)
+    hit = pairs.join(of.select(F.col("skeleton_hash").alias("b"), file), "b").select(F.col("a").alias("skeleton_hash"), file).distinct()
+    near = hit.join(per, "skeleton_hash").groupBy(file).agg(F.sum("n").alias("near"))
+    key = normalized(F.col("text"))
+    keys = rows.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    exact = references.select(key.alias("key"), file).distinct().join(keys, "key").groupBy(file).agg(F.sum("n").alias("exact"))
+    found = references.select(file).distinct().join(exact, file, "left").join(near, file, "left")
+    return found.select(file, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("exact", "near")])
+
+
 def remove_near(rows: DataFrame, references: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows that are near no reference."""
     tagged, _ = signatures(rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import dedup, sampling
+from ..operators import dedup, near, sampling
 from .fixtures import BENCHMARK, DIALOGUES, MESSAGES, hex8, normal, with_
 from .registry import query
 
@@ -302,6 +302,13 @@ def j15(t):
     return hit.groupBy("file").agg(F.count_distinct("id").alias("n"))
 
 
+@query("j15_overlap_counts")
+def j15c(t):
+    """Whole texts, exact and near, per file; the query before it looks for the first 40 characters only."""
+    file = F.concat(F.lit("file"), (F.col("id").cast("long") % 3).cast("string"))
+    return near.overlap_per_file(t.m.select("id", "text"), t.b.select("text", file.alias("file")))
+
+
 @query("u01_priority_union", with_(MESSAGES, BENCHMARK) + "SELECT 0 AS priority, id, length(text) AS n FROM m UNION ALL SELECT 1, id, length(text) FROM b")
 def u01(t):
     side = lambda d, p: d.select(F.lit(p).alias("priority"), "id", F.length("text").cast("long").alias("n"))
