@@ -91,3 +91,18 @@ def test_overlap_per_file_by_brute_force(spark, tmp_path):
     }
     assert want["file0"][0] == 3 and want["file2"][0] == 1
     assert {r.file: (r.exact, r.near) for r in plans.QUERIES["j15_overlap_counts"](spark, path).collect()} == want
+
+
+def test_messages_near_benchmark_and_across_splits(spark, tmp_path):
+    r = random.Random(8)
+    texts = [(i, x[1] if i % 3 else " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(20))) for i, x in enumerate(messages(40))]
+    path = folder(spark, tmp_path, texts, [(i, texts[i][1] + " now") for i in (1, 3, 5, 7)])
+    sig = signed(spark.createDataFrame([(str(i), x) for i, x in texts] + [(f"b{i}", texts[i][1] + " now") for i in (1, 3, 5, 7)], "id string, text string"))
+    ids = [str(i) for i, _ in texts]
+    want = {i for i in ids if any(near_rows(sig, i, f"b{j}") for j in (1, 3, 5, 7))}
+    assert 0 < len(want) < len(ids)
+    assert sorted(x.id for x in plans.QUERIES["j10_message_overlap"](spark, path).collect()) == sorted(want)
+    split = {x.id: x.s for x in spark.createDataFrame([(i,) for i in ids], "id string").select("id", near.split_for_family(F.col("id")).alias("s")).collect()}
+    pairs = sorted((a, split[a], b, split[b]) for a in ids for b in ids if a < b and split[a] != split[b] and near_rows(sig, a, b))
+    assert pairs
+    assert sorted(map(tuple, plans.QUERIES["j14_message_leaks"](spark, path).collect())) == pairs

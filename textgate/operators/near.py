@@ -144,6 +144,15 @@ def overlap_per_file(rows: DataFrame, references: DataFrame, file: str = "file",
     return found.select(file, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("exact", "near")])
 
 
+def split_leaks(rows: DataFrame, split: str = "split", id_col: str = "id", radius: int = RADIUS) -> DataFrame:
+    """id_a, split_a, id_b, split_b: every pair of rows of different splits, ordered by id and split, whose texts are near."""
+    tagged, signed = signatures(rows)
+    signed = written(signed, "signatures")
+    side = lambda n: tagged.select(F.col("skeleton_hash").alias(n), F.col(id_col).alias(f"id_{n}"), F.col(split).alias(f"split_{n}"))
+    pairs = hamming_pairs(signed, signed, radius=radius).join(side("a"), "a").join(side("b"), "b")
+    return pairs.where("split_a <> split_b AND (id_a < id_b OR id_a = id_b AND split_a < split_b)").select("id_a", "split_a", "id_b", "split_b")
+
+
 def remove_near(rows: DataFrame, references: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows that are near no reference."""
     tagged, _ = signatures(rows)

@@ -98,6 +98,20 @@ def j14(t):
     return near.hamming_pairs(sigs(t), key="k").where("a % 3 <> b % 3")
 
 
+@query("j10_message_overlap")
+def j10m(t):
+    """Messages that are near a text of the benchmark; j10_near_overlap does so on some planted signatures."""
+    rows = t.m.select("id", "text")
+    tagged, _ = near.signatures(rows)
+    return tagged.join(near.overlapping(rows, t.b), "skeleton_hash", "left_semi").select("id")
+
+
+@query("j14_message_leaks")
+def j14m(t):
+    """Near pairs of messages across splits; j14_split_leaks has them for planted signatures."""
+    return near.split_leaks(t.m.select("id", "text", tx.split_for_family(F.col("id")).alias("split")))
+
+
 @query("a05_components", with_(MESSAGES, NM, "e AS (SELECT x.ordinal AS a, y.ordinal AS b FROM n x JOIN n y ON x.key = y.key AND x.ordinal <> y.ordinal)").replace("WITH", "WITH RECURSIVE", 1) + ", r AS (SELECT ordinal AS node, ordinal AS root FROM m UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node")
 def a05(t):
     rows = keyed(t.m).select("ordinal", "key")
