@@ -106,3 +106,16 @@ def test_messages_near_benchmark_and_across_splits(spark, tmp_path):
     pairs = sorted((a, split[a], b, split[b]) for a in ids for b in ids if a < b and split[a] != split[b] and near_rows(sig, a, b))
     assert pairs
     assert sorted(map(tuple, plans.QUERIES["j14_message_leaks"](spark, path).collect())) == pairs
+
+
+def test_component_subset_sees_every_source(spark, tmp_path):
+    from textgate.operators.sequential import nearest_subset
+
+    path = str(tmp_path)
+    sizes = {f"src{i}": 1 + i % 4 for i in range(40)}
+    rows = [(1000 * i + k, "x", "en", s, 1) for i, (s, n) in enumerate(sizes.items()) for k in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    got = {r.source: r.n for r in plans.QUERIES["t06_component_subset"](spark, path).collect()}
+    assert got == {s: sizes[s] for s in nearest_subset(sizes, 0.2, "partition")}
+    assert abs(sum(got.values()) - 0.2 * sum(sizes.values())) <= 4
