@@ -355,6 +355,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 
     ``class_id`` is the least id of the group, ``group_size`` its number of rows, ``n_links`` the
     verified links of the row's class to other classes, and ``kept`` marks one row of each group.
+    ``n_links`` counts links among the pairs that were checked: pairs already in one component are
+    not, so it depends on the drawn classes and is no count of all partners at ``least`` or more.
     """
     rows = _grouped(docs, id_col, text_col, least)
     return rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth")).select(
