@@ -1,4 +1,5 @@
 import re
+import time
 
 import duckdb
 from textgate.llm import license_scan
@@ -44,3 +45,13 @@ def test_oracle(spark, odd):
     want = duckdb.sql(license_scan.oracle()).fetchall()
     got = license_scan.scan(odd.where("doc_id is not null")).drop("spans").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_text_full_of_licence_words(spark):
+    texts = {1: "cc by " * 20_000, 2: "general public license all rights reserved " * 8_000, 3: "by cc mit license " * 10_000}
+    began = time.time()
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).drop("spans").collect()}
+    assert time.time() - began < 60
+    assert (got[1].n_base, got[1].first_word, got[1].last_word) == (20_000, 0, 39_998)
+    assert (got[2].n_base, got[2].last_word, got[2].base_labels) == (16_000, 47_997, "gpl,reserved")
+    assert (got[3].n_base, got[3].labels) == (0, "")

@@ -1,5 +1,8 @@
 import zlib
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 from textgate.llm import language_id, quality, registry
 from tests.llm.conftest import prose
@@ -49,3 +52,26 @@ def test_empty_tables(spark, bare_folder, odd):
     assert registry.op6_quality(spark, bare_folder).collect() == []
     untaught = language_id.identify(odd, language_id.train([])).collect()
     assert all(r.lang_pred == "und" and r.score == 0 and r.rejected for r in untaught)
+
+
+def plain_grams(text):
+    """2-, 3- and 4-grams of the marked text by plain slices."""
+    marked = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    marked = " ".join(marked.split())
+    marked = f" {marked} " if marked else " "
+    found = []
+    for n in (2, 3, 4):
+        found += [marked[i : i + n] for i in range(len(marked) - n + 1) if " " not in marked[i + 1 : i + n - 1]]
+    return found
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 5, 7, 64, 1 << 20])
+def test_pieces_of_a_text_have_its_own_grams(monkeypatch, piece):
+    texts = [prose(3, 40), "a", " a ", "--", "ab, cd!  e 中文字 ñandú ΣΑΣ x", "x " * 30, "y" * 50, " \n\t", "é. É"]
+    for text in texts:
+        whole = list(language_id.buckets(text))
+        assert sum(map(len, whole)) == (len(plain_grams(text)) if any(c.isalpha() for c in text) else 0)
+        monkeypatch.setattr(language_id, "PIECE_CHARS", piece)
+        parts = list(language_id.buckets(text))
+        monkeypatch.undo()
+        assert sorted(np.concatenate(parts) if parts else []) == sorted(np.concatenate(whole) if whole else [])

@@ -45,19 +45,19 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def _hashed(codes: np.ndarray) -> np.ndarray:
-    """Buckets of the n-grams of a marked run of letters."""
+def _hashed(codes: np.ndarray, known: int = 0) -> np.ndarray:
+    """Buckets of the n-grams of a marked run of letters, but those that lie within its first ``known`` codes."""
     c = codes.astype(np.uint32)
     inner = c != MARK
     found = []
     h = c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA6B)
-    found.append(h ^ np.uint32(0x2545F491))
+    found.append((h ^ np.uint32(0x2545F491))[max(0, known - 1) :])
     if len(c) > 2:
         h = h[:-1] + c[2:] * np.uint32(0xC2B2AE35)
-        found.append((h ^ np.uint32(0x1B873593))[inner[1:-1]])
+        found.append((h ^ np.uint32(0x1B873593))[max(0, known - 2) :][inner[1:-1][max(0, known - 2) :]])
     if len(c) > 3:
         h = h[:-1] + c[3:] * np.uint32(0x27D4EB2F)
-        found.append((h ^ np.uint32(0xCC9E2D51))[inner[1:-2] & inner[2:-1]])
+        found.append((h ^ np.uint32(0xCC9E2D51))[max(0, known - 3) :][(inner[1:-2] & inner[2:-1])[max(0, known - 3) :]])
     all_ = np.concatenate(found)
     all_ ^= all_ >> np.uint32(15)
     all_ *= np.uint32(0x2C1B3C6D)
@@ -65,15 +65,21 @@ def _hashed(codes: np.ndarray) -> np.ndarray:
 
 
 def buckets(text: str | None) -> Iterator[np.ndarray]:
-    """The whole text's buckets, in pieces of bounded size; nothing for a text without a letter."""
-    letters = _letters()
-    for at in range(0, len(text or ""), PIECE_CHARS):
-        codes = np.frombuffer(text[at : at + PIECE_CHARS].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.where(letters[codes], codes, MARK)
-        codes = np.concatenate(([MARK], codes, [MARK]))
+    """The whole text's buckets, in pieces of bounded size; nothing for a text without a letter.
+
+    The last three codes of a piece precede the next one, so that the pieces' n-grams are those of
+    the uncut text, each once.
+    """
+    letters, whole = _letters(), (text or "").lower()
+    before, told = np.array([MARK], np.uint32), False
+    for at in range(0, len(whole), PIECE_CHARS):
+        codes = np.frombuffer(whole[at : at + PIECE_CHARS].encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.concatenate((before, np.where(letters[codes], codes, np.uint32(MARK)), [MARK] if at + PIECE_CHARS >= len(whole) else [])).astype(np.uint32)
         codes = codes[np.concatenate(([True], (codes[1:] != MARK) | (codes[:-1] != MARK)))]
-        if len(codes) > 2:
-            yield _hashed(codes)
+        told |= bool((codes != MARK).any())
+        if told and len(codes) > len(before):
+            yield _hashed(codes, len(before))
+        before = codes[-3:]
 
 
 @dataclass

@@ -3,7 +3,8 @@
 The index holds, for every template, its words of highest inverse document frequency (over the
 templates) and where they stand. Of a file, only the words in that index are looked up; each
 posting proposes (template, start = position in the file - position in the template). Starts that
-all rare words of a template agree on are intersected out, then the template's mandatory key
+all rare words of a template agree on are intersected out - they stand side by side among the
+sorted proposals - then the template's mandatory key
 phrase must stand there word for word, and the share of all template words in place is the score.
 Base phrases are templates that are key phrase as a whole. Everything is one narrow map.
 
@@ -52,6 +53,8 @@ SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KELVIN = "\u212a"  # the one other character that lower() turns into an ASCII letter by itself
 RARE_WORDS = 2
+START_BITS = 32
+START = 1 << START_BITS
 LEAST_SCORE = 0.6
 
 
@@ -110,12 +113,13 @@ def scan(
         [
             F.struct(
                 F.lit(t.label).alias("label"), F.array(*map(F.lit, t.words)).alias("words"), F.lit(t.key_at).alias("key_at"),
-                F.lit(t.key_len).alias("key_len"), F.lit(t.base).alias("base"), F.lit(len(t.rare)).alias("need"),
+                F.lit(t.key_len).alias("key_len"), F.lit(t.base).alias("base"),
             )
             for t in made
         ],
-        "struct<label string, words array<string>, key_at int, key_len int, base boolean, need int>",
+        "struct<label string, words array<string>, key_at int, key_len int, base boolean>",
     )
+    needs = _array([F.lit(len(t.rare)) for t in made], "int")
     w = F.col("w")
     rows = docs.select(F.col(id_col).alias("doc_id"), words_of(text_or_empty(text_col)).alias("w"))
     rows = rows.select(
@@ -123,22 +127,24 @@ def scan(
         F.when((F.size(w) > 1) & (F.element_at(w, -1) == ""), 1).otherwise(0).alias("trail"),
         F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(vocabulary)).alias("hits"),
     )
+    # a proposal is one number: the template, and the start from -START on
+    code = lambda t, at: t.cast("long") * F.lit(2 * START) + at.cast("long") + F.lit(START)
     proposals = F.flatten(
         F.transform(
             F.col("hits"),
-            lambda i: F.transform(
-                F.filter(postings, lambda p: p["w"] == F.get(w, i)), lambda p: F.struct(p["t"].alias("t"), (i - p["p"]).alias("at"))
-            ),
+            lambda i: F.transform(F.filter(postings, lambda p: p["w"] == F.get(w, i)), lambda p: code(p["t"], i - p["p"])),
         )
     )
-    rows = rows.select("*", proposals.alias("proposals"))
-    rows = rows.select("*", F.array_distinct("proposals").alias("starts"))
+    rows = rows.select("*", F.sort_array(proposals).alias("proposals"))
+    of = lambda x: F.shiftright(x, START_BITS + 1).cast("int")
+    # each rare word proposes a start once, so a start that all agree on stands as often in a row
     agreed = F.filter(
-        F.col("starts"),
-        lambda c: F.size(F.filter(F.col("proposals"), lambda p: p == c)) >= F.get(table, c["t"])["need"],
+        F.col("proposals"),
+        lambda x, i: ((i == 0) | (F.get("proposals", i - 1) != x)) & (F.get("proposals", i + F.get(needs, of(x)) - 1) == x),
     )
     placed = F.transform(
-        agreed, lambda c: F.struct(c["t"].alias("t"), c["at"].alias("at"), F.get(table, c["t"]).alias("of"))
+        agreed,
+        lambda x: F.struct((F.pmod(x, F.lit(2 * START)) - F.lit(START)).cast("int").alias("at"), F.get(table, of(x)).alias("of")),
     )
     rows = rows.select("*", placed.alias("placed"))
 
