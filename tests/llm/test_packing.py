@@ -54,3 +54,26 @@ def test_little_padding():
     sizes = [s for _ in range(1500) for _, s in packing.cuts(r.randint(20, 2047), 2048, packing.PIECE)]
     windows = packing.windows_of(sizes, 2048)
     assert 1 - sum(sizes) / (2048 * len(windows)) < 0.02
+
+
+def test_documents_stay_together(spark):
+    r = random.Random(4)
+    sizes, owners = [], []
+    for doc in range(600):
+        for _, n in packing.cuts(r.randint(20, 2047), 2048, packing.PIECE):
+            sizes.append(n)
+            owners.append(doc)
+    before = packing.windows_of(sizes, 2048)
+    after = packing.gathered(before, sizes, owners)
+    assert sorted(i for w in after for i in w) == list(range(len(sizes)))
+    assert [sorted(sizes[i] for i in w) for w in after] == [sorted(sizes[i] for i in w) for w in before]
+
+    def spread(windows):
+        found = defaultdict(set)
+        for n, w in enumerate(windows):
+            for i in w:
+                found[owners[i]].add(n)
+        return sum(map(len, found.values())) / len(found)
+
+    assert spread(after) < 0.6 * spread(before)
+    assert packing.gathered([], [], []) == [] and packing.gathered([[0]], [5], [0]) == [[0]]

@@ -1,12 +1,13 @@
 """Operator 3: packing token sequences by Karmarkar-Karp multiway differencing.
 
 Executors tokenise whole texts and cut each document into full sequences and, from its rest, pieces
-of at most ``piece`` tokens. Only the pieces' numbers travel on. They are dealt by a hash into
-groups of about ``group_tokens`` tokens. In a group, every piece starts as a partial partition with
+of at most ``piece`` tokens. Only the pieces' numbers travel on. They are dealt by a hash of their
+row into groups of about ``group_tokens`` tokens. In a group, every piece starts as a partial partition with
 one window in use; the two partial partitions whose windows differ most are merged again and again,
 the fullest windows of one onto the emptiest of the other, until one partition is left. Its windows
 are nearly equal. Where one exceeds the capacity, the number of windows rises by one and the
-differencing starts anew.
+differencing starts anew. Pieces of equal length may then change places: those of one document
+are brought together, which leaves every window as full as it was.
 
 Defined cases: a null text is empty and gives the end id alone; repeated rows are packed as often
 as they occur; null ids are carried along; an empty table gives no rows; further columns of the
@@ -19,6 +20,7 @@ import base64
 import heapq
 import re
 import zlib
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,6 +132,38 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
         count += 1
 
 
+def gathered(windows: list[list[int]], lengths: list[int], owners: list[int]) -> list[list[int]]:
+    """The same windows by length, with pieces of equal length dealt anew so that documents stay together.
+
+    ``owners`` numbers the document of each piece. Windows take turns: each keeps its pieces of a
+    length of their own, then gets the other pieces of their documents, then those of the documents
+    it has begun with, then the next ones that are left. Only pieces of the commonest length move.
+    """
+    common, times = Counter(lengths).most_common(1)[0] if lengths else (0, 0)
+    if times < 2:
+        return windows
+    left: dict[int, deque[int]] = {}
+    for i, n in enumerate(lengths):
+        if n == common:
+            left.setdefault(owners[i], deque()).append(i)
+    order = deque(left)  # documents with pieces left, and some that have none any more
+    out = []
+    for window in windows:
+        kept = [i for i in window if lengths[i] != common]
+        room, wanted = len(window) - len(kept), deque(dict.fromkeys(owners[i] for i in kept))
+        while room:
+            if not wanted:
+                while not left[order[0]]:
+                    order.popleft()
+                wanted.append(order[0])
+            mine = left.get(wanted.popleft())
+            while room and mine:
+                kept.append(mine.popleft())
+                room -= 1
+        out.append(sorted(kept))
+    return out
+
+
 def pack(
     docs: DataFrame, files: tuple[str | None, ...], id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
     piece: int = PIECE, group_tokens: int = GROUP_TOKENS, end_id: int = END_ID,
@@ -141,18 +175,18 @@ def pack(
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth"]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, nth = encoder(*files), 0
+        e, row = encoder(*files), 0
         for b in batches:
             at, numbers = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 ids = np.append(e.ids(text or ""), np.uint32(end_id)).astype("<u4", copy=False)
                 for start, length in cuts(len(ids), capacity, piece):
                     at.append(i)
-                    numbers.append((start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), nth))
-                    nth += 1
+                    numbers.append((start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), row))
+                row += 1
             columns = zip(*numbers, strict=True) if numbers else [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], names=names
@@ -162,15 +196,20 @@ def pack(
     pieces = written(cut_, "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // group_tokens))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "nth"), F.lit(groups)))
+    # a row's pieces go to one group, as far as a group reaches
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "doc_tokens", "row", F.floor(F.col("start") / F.lit(group_tokens // 8))), F.lit(groups)))
 
     def fill(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(n, "ascending") for n in ("doc_id", "start", "nth", "ids_crc32")])
+        table = table.sort_by([(n, "ascending") for n in ("doc_id", "row", "doc_tokens", "start", "ids_crc32")])
         group = table.column("group")[0].as_py()
         lengths = table.column("length").to_pylist()
         full = [i for i, n in enumerate(lengths) if n == capacity]
         rest = [i for i, n in enumerate(lengths) if n < capacity]
-        windows = [[i] for i in full] + [[rest[j] for j in w] for w in windows_of([lengths[i] for i in rest], capacity)]
+        sizes = [lengths[i] for i in rest]
+        at_row = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "row", "doc_tokens")), strict=True))
+        number = {x: n for n, x in enumerate(dict.fromkeys(at_row))}
+        windows = gathered(windows_of(sizes, capacity), sizes, [number[at_row[i]] for i in rest])
+        windows = [[i] for i in full] + [[rest[j] for j in w] for w in windows]
         sequence, offset = [0] * len(lengths), [0] * len(lengths)
         for n, window in enumerate(windows):
             at = 0
