@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+import xxhash
+from pyspark.sql import functions as F
 from textgate.llm import fingerprints
 from tests.llm.conftest import prose
 
@@ -42,3 +44,35 @@ def test_odd_rows(odd, odd_rows, none):
         want.append((r[0], hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()))
     assert sorted(((r.doc_id, r.edited_sha256) for r in got), key=str) == sorted(want, key=str)
     assert fingerprints.compare_with_edits(none).collect() == []
+
+
+def plain_fingerprint(text):
+    """Bins, densification and packing in plain Python."""
+    words = " ".join((text or "").replace("\x0b", " ").replace("\x0c", " ").split(" ")).split()
+    words = words or [""]
+    bins = [None] * 256
+    for i in range(max(1, len(words) - 4)):
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        at, rest = ((h >> 56) + 128) % 256, h & (1 << 56) - 1
+        bins[at] = rest if bins[at] is None or rest < bins[at] else bins[at]
+    filled = []
+    for i, v in enumerate(bins):
+        tries = (bins[fingerprints._probe(i, t)] for t in range(256))
+        filled.append(v if v is not None else next(x for x in tries if x is not None))
+    return "".join(bytes(x & 255 for x in reversed(filled[j : j + 8])).hex() for j in range(0, 256, 8))
+
+
+def test_bins_and_densification_against_plain_python(spark):
+    texts = {i: prose(i, 1 + 3 * i) for i in range(80)} | {100: "", 101: "one", 102: "a b c d", 103: prose(9, 4000), 104: "ñandú  中文\tx y\nz"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(df).collect()}
+    assert got == {i: plain_fingerprint(t) for i, t in texts.items()}
+
+
+def test_many_ranges(spark, monkeypatch):
+    df = spark.range(700).select((F.col("id") * 7 % 700).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    want = sorted(map(tuple, fingerprints.compare_with_edits(df).collect()))
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 2)
+    assert sorted(map(tuple, fingerprints.compare_with_edits(df).collect())) == want

@@ -59,3 +59,19 @@ def test_odd_rows(odd, odd_rows, none):
     assert {str(r.doc_id) for r in found.collect()} == {str(r[0]) for r in odd_rows} and found.count() >= len(odd_rows)
     assert mixing.mixed(none).count() == 0
     assert mixing.mixed(odd.where("source = 'c'")).count() == 1
+
+
+def test_tokens_of_scripts_without_blanks(spark):
+    texts = {"": 1, " \t ": 1, "a b  c": 3, "中文": 2, "中文 ab 字": 4, "ab中cd": 3, "ภาษา ไทย": 7, "ひら カナ": 4, "한국어 말": 2, "x": 1}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r.text: r.n for r in df.select("text", mixing.tokens(F.col("text")).alias("n")).collect()} == texts
+
+
+def test_stretches_of_blocks_change_nothing(uneven, monkeypatch):
+    def found():
+        rows = mixing.mix(uneven, repeat_limit=None, target_entropy=1.5, budget=3000.0, block_tokens=50).collect()
+        return sorted((r.row.doc_id, r.epoch, r.block, r.position) for r in rows)
+
+    whole = found()
+    monkeypatch.setattr(mixing, "BLOCKS_AT_ONCE", 3)
+    assert found() == whole and whole

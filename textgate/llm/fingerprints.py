@@ -28,6 +28,8 @@ BINS = 1 << BIN_BITS
 LOW_BITS = 8
 WORDS = 5
 PROBES = 10
+#: A range of ids that is sorted by itself has about so many rows at most.
+RANGE_ROWS = 200_000
 _SHIFT = 64 - BIN_BITS
 _REST = (1 << _SHIFT) - 1
 
@@ -41,7 +43,8 @@ def _probe(i: int, t: int) -> int:
 
 
 def _longs(values: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("long") for v in values])
+    """A constant array, as one literal text that the optimizer turns into numbers once."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
 
 
 def with_fingerprint(df: DataFrame, text: Column, out: str) -> DataFrame:
@@ -118,7 +121,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    n = min(4000, 4 * tasks(spark))
+    n = max(4 * tasks(spark), -(-docs.count() // RANGE_ROWS))
     found = rows.select(key.alias("k")).agg(F.min("k"), F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n)).first()
     bounds = sorted({found[0], *(found[1] or [])}) if found and found[0] is not None else [0]
     rows = with_fingerprint(rows.withColumn("k", key), F.col("text"), "fingerprint")

@@ -13,7 +13,8 @@ the budget ends. ``position`` (0 to 1) orders all occurrences so that every stre
 has the sources in their weights. Without a given budget, the total is the least with which every
 row of every source is used at least once.
 
-Defined cases: tokens are words between blanks, and a row without any counts as one token; a null
+Defined cases: tokens are words between blanks, and each character of a script that is written
+without blanks; a row without any counts as one token; a null
 source is a source of its own; rows that repeat entirely are used equally often; with a single
 source nothing changes; an empty table gives no rows; other columns are carried along whatever
 their names.
@@ -37,12 +38,20 @@ ROUNDS = 8
 #: Up to so many sources, their table is sent to all executors; beyond that, it is joined.
 SENT_SOURCES = 20_000
 UNIT = 1 << 52
+#: So many blocks of a source are summed before their order is looked at, so that no task sorts them all.
+BLOCKS_AT_ONCE = 4096
+#: Scripts that are written without blanks between words.
+UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
 
 
 def tokens(text: Column) -> Column:
-    """Words between blanks; one for a text without any."""
-    bare = F.trim(F.regexp_replace(text, "[ \\t-\\r]+", " "))
-    return F.size(F.split(bare, " ", -1)).cast("long")
+    """Words between blanks and single characters of scripts without blanks; one for a text without any."""
+    words = lambda x: F.size(F.split(F.trim(F.regexp_replace(x, "[ \\t-\\r]+", " ")), " ", -1))
+    spaced = F.regexp_replace(text, UNSPACED, " ")
+    single = F.length(text) - F.length(F.regexp_replace(text, UNSPACED, ""))
+    apart = single + F.when(F.trim(F.regexp_replace(spaced, "[ \\t-\\r]+", " ")) == "", 0).otherwise(words(spaced))
+    other = (F.length(text) < F.octet_length(text)) & text.rlike(UNSPACED)
+    return F.when(other, apart).otherwise(words(text)).cast("long")
 
 
 def chance(key: Column, turn: Column, seed: int) -> Column:
@@ -118,10 +127,11 @@ def _plan(
     last = _joined(rows, plan.select("source", "whole", "blocks", "rest")).where("rest > 0")
     last = last.withColumn("u", chance(F.col("key"), F.col("whole"), seed)).withColumn("block", F.floor(F.col("u") * F.col("blocks")))
     sums = last.groupBy("source", "block").agg(F.sum("n").alias("n"), F.first("rest").alias("rest"))
-    upto = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = sums.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") >= F.col("rest"))
-    ends = ends.groupBy("source").agg(F.min(F.struct("block", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))).alias("e"))
-    ends = written(ends.select("source", F.col("e.block").alias("end_block"), F.col("e.left").alias("left")), "ends")
+    sums = written(sums.withColumn("some", F.floor(F.col("block") / F.lit(BLOCKS_AT_ONCE))), "blocks")
+    # first the stretch of blocks, then the block in it, in which the rest is used up
+    stretch = _ended(sums.groupBy("source", "some").agg(F.sum("n").alias("n"), F.first("rest").alias("rest")), "some")
+    within = _joined(sums.drop("rest"), stretch.select("source", F.col("at").alias("end_some"), F.col("left").alias("rest"))).where("some = end_some")
+    ends = written(_ended(within, "block").select("source", F.col("at").alias("end_block"), "left"), "ends")
     inside = _joined(last.select("source", "block", "u", "n"), ends).where("block = end_block")
     within = Window.partitionBy("source").orderBy("u")  # the rows of one block
     cut = inside.withColumn("upto", F.sum("n").over(within)).where(F.col("upto") <= F.col("left"))
@@ -136,6 +146,14 @@ def _plan(
     )
 
 
+def _ended(sums: DataFrame, by: str) -> DataFrame:
+    """(source, at, left): where ``rest`` is used up in order of ``by``, and what is left of it there."""
+    upto = Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = sums.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") >= F.col("rest"))
+    ends = ends.groupBy("source").agg(F.min(F.struct(F.col(by).alias("at"), (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))).alias("e"))
+    return ends.select("source", "e.at", "e.left")
+
+
 def _joined(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of the table of sources, null sources included."""
     right = sources.withColumnRenamed("source", "__source")
