@@ -75,3 +75,33 @@ def test_pieces_of_a_text_have_its_own_grams(monkeypatch, piece):
         parts = list(language_id.buckets(text))
         monkeypatch.undo()
         assert sorted(np.concatenate(parts) if parts else []) == sorted(np.concatenate(whole) if whole else [])
+
+
+def drawn(n, junk, seed):
+    """Statistics of clean and junk texts, and which are clean."""
+    texts = [prose(seed + i, 60 + i % 90) for i in range(n)]
+    bad = np.arange(n) % 100 < 100 * junk
+    return [" ".join(w + "#!"[j % 2] * (1 + j % 3) for j, w in enumerate(t.split())) if b else t for t, b in zip(texts, bad, strict=True)], ~bad
+
+
+@pytest.mark.parametrize("junk", [0.1, 0.3, 0.5])
+def test_prior_from_positives_and_unlabelled_text(junk):
+    good, _ = drawn(300, 0, 10_000)
+    texts, clean = drawn(1000, junk, 20_000)
+    model = quality.train(np.stack([quality.statistics(t) for t in good]), np.ones(300, int), np.stack([quality.statistics(t) for t in texts]))
+    assert abs(model.prior - (1 - junk)) < 0.08
+    assert ((model.score(np.stack([quality.statistics(t) for t in texts])) >= 0.5) == clean).mean() > 0.95
+
+
+def test_fit_over_tasks_is_the_fit_in_memory(spark):
+    """All unlabelled rows count, a repeated id counts once among the positives, and labels 0 are not used."""
+    texts, clean = drawn(400, 0.25, 30_000)
+    docs = [(i, t) for i, t in enumerate(texts)] + [(1, texts[1])] * 50 + [(None, "x")]
+    labels = [(i, int(c)) for i, c in enumerate(clean) if i < 200] + [(1, int(clean[1])), (None, 1), (3, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    model = quality.fit(frame, spark.createDataFrame(labels, "doc_id long, quality int"))
+    x = np.stack([quality.statistics(t).astype(np.float32).astype(float) for i, t in docs if i is not None])
+    order = sorted((str(i) for i in range(200) if clean[i]))
+    own = quality.train(np.stack([quality.statistics(texts[int(i)]).astype(np.float32).astype(float) for i in order]), np.ones(len(order), int), x)
+    assert np.allclose(model.weights, own.weights, atol=1e-6) and abs(model.prior - own.prior) < 1e-9
+    assert model.slope == 1.0 and model.shift == 0.0

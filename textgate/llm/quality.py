@@ -5,22 +5,27 @@ text by minimising the non-negative unbiased risk
 
     prior * E_P[l(+f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]),   l(z) = log(1 + exp(-z)).
 
-The class prior is estimated: from the share of label 1 among labelled rows where both labels are
-known, else by the mean score that trusted positives get from a positive-against-unlabelled model.
-Where both labels are known, the labelled rows that may be learnt from calibrate the scorer's
-output to a probability.
+The class prior is estimated from positives and unlabelled text alone: five models tell positives
+from unlabelled text, each learnt on four fifths of the positives; the share of unlabelled rows above
+a threshold, divided by the share of positives above it (each scored by the model that has not seen
+it), is least where the top is pure, and that least ratio, with two standard errors, is the prior. Labels 0 are not used, unless
+``calibrate`` is set, which fits the output to both labels.
+
+All unlabelled rows count: each Newton step sums loss, gradient and curvature over the table of
+their statistics, and the driver gets the sums. Only the positives are sampled (``sample_rows``).
 
 Defined cases: a null text is an empty text and gets the score of its (zero) statistics; without
-any label 1 to learn from every score is the prior (1 where nothing is known); a document with
-several labels has the more frequent one (1 where they tie); null labels and ids are left out of learning; repeated rows
-give repeated results; an empty table gives no rows.
+any label 1 to learn from every score is 0 (1 where no label is known at all); a document with
+several labels has the more frequent one (1 where they tie); an id on several rows gives its least
+statistics to learning once; null labels and ids are left out of learning; repeated rows give
+repeated results; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import operator
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, written
 
-#: At most about this many labelled and as many unlabelled rows are sampled, by a hash of the id.
+#: At most about this many labelled rows are sampled, by a hash of the id.
 SAMPLE_ROWS = 15_000
-STEPS = 600
-RATE = 0.05
+STEPS = 25
+HALVINGS = 3
+THRESHOLDS = 200
+FOLDS = 5
 #: Weight decay: a floor, and a part that fades as trusted positives grow in number.
 DECAY, DECAY_OF_ONE = 1e-3, 2.0
 #: Statistics that hardly vary among learning rows must not decide by a phone number's few digits.
@@ -106,21 +113,108 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _descend(xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Adam on the non-negative risk; where its second part is negative, that part is pushed back."""
-    w = np.zeros(xp.shape[1] + 1)
-    xp, xu = (np.hstack([x, np.ones((len(x), 1))]) for x in (xp, xu))
-    first, second = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, STEPS + 1):
-        fp, fu = xp @ w, xu @ w
-        positive = -xp.T @ _sigmoid(-fp) / len(xp)  # gradient of E_P[l(+f)]
-        negative = xu.T @ _sigmoid(fu) / len(xu) - prior * (xp.T @ _sigmoid(fp)) / len(xp)
-        rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        g = prior * positive + negative if rest >= 0 else -negative
-        g = g + (DECAY + DECAY_OF_ONE / len(xp)) * np.append(w[:-1], 0)
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        w -= RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
+#: Sums a function of statistics (rows by columns) over all unlabelled rows.
+Totals = Callable[[Callable[[np.ndarray], np.ndarray]], np.ndarray]
+
+
+class Scaled:
+    """Statistics made comparable, with a last column of ones."""
+
+    def __init__(self, mean: np.ndarray, scale: np.ndarray):
+        self.mean, self.scale = mean, scale
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.hstack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones((len(x), 1))])
+
+
+def _moments(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+
+
+def _loss_sums(heads: list[np.ndarray], scaled: Scaled) -> Callable[[np.ndarray], np.ndarray]:
+    """Of each head, the summed loss of calling a row positive, its gradient and its curvature."""
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        x, found = scaled(x), []
+        for w in heads:
+            f = x @ w
+            p = _sigmoid(f)
+            found += [[np.logaddexp(0, f).sum()], x.T @ p, ((x * (p * (1 - p))[:, None]).T @ x).ravel()]
+        return np.concatenate(found)
+
+    return sums
+
+
+def _minimised(positives: list[np.ndarray], prior: float | None, slack: float, scaled: Scaled, totals: Totals, n: float) -> list[np.ndarray]:
+    """Of each set of positives, the weights of least risk; all heads share each pass over the unlabelled rows.
+
+    With a prior it is the non-negative risk: a step after which its second part is more negative than
+    chance explains (the prior's ``slack``, and a standard error over the positives) is halved back.
+    Without one, positives are told from unlabelled rows: E_P[l(+f)] + E_U[l(-f)].
+    """
+    width = len(scaled.mean) + 1
+    xs = [scaled(x) for x in positives]
+    decays = [np.append(np.full(width - 1, DECAY + DECAY_OF_ONE / len(x)), 1e-9) for x in xs]
+
+    def risk(x: np.ndarray, w: np.ndarray, decay: np.ndarray, u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        f, loss, g, h = x @ w, u[0] / n, u[1 : 1 + width] / n, u[1 + width :].reshape(width, width) / n
+        p = _sigmoid(f)
+        if prior is None:
+            value = np.logaddexp(0, -f).mean() + loss
+            g, h = g - x.T @ (1 - p) / len(x), h + (x * (p * (1 - p))[:, None]).T @ x / len(x)
+        else:
+            called = np.logaddexp(0, f)
+            rest, error = loss - prior * called.mean(), slack * called.mean() + prior * called.std() / np.sqrt(len(x))
+            value = np.inf if rest < -error else prior * np.logaddexp(0, -f).mean() + rest
+            g = g - prior * x.mean(axis=0)
+        return value + 0.5 * (decay * w * w).sum(), g + decay * w, h + np.diag(decay) + 1e-9 * np.eye(width)
+
+    best = [np.zeros(width) for _ in xs]
+    values: list[float] = [np.inf] * len(xs)
+    steps: list[np.ndarray | None] = [None] * len(xs)
+    halved, done = [0] * len(xs), [False] * len(xs)
+    for _ in range(STEPS):
+        tried = [w if s is None else w - s for w, s in zip(best, steps, strict=True)]
+        sums = np.split(totals(_loss_sums(tried, scaled)), len(xs))
+        for i, (x, w, u) in enumerate(zip(xs, tried, sums, strict=True)):
+            if done[i]:
+                continue
+            value, g, h = risk(x, w, decays[i], u)
+            if steps[i] is None or value < values[i]:
+                gain = values[i] - value
+                best[i], values[i], steps[i], halved[i] = w, value, np.linalg.solve(h, g), 0
+                done[i] = gain < 1e-6
+            else:
+                steps[i], halved[i] = steps[i] / 2, halved[i] + 1
+                done[i] = halved[i] > HALVINGS
+            if done[i]:
+                steps[i] = None
+        if all(done):
+            break
+    return best
+
+
+def _prior(folds: list[np.ndarray], heads: list[np.ndarray], scaled: Scaled, totals: Totals, n: float) -> tuple[float, float]:
+    """The share of positives among unlabelled rows, and what of it is allowed for chance. Each head scores
+    the fold that it has not seen."""
+    scores = [scaled(x) @ w for x, w in zip(folds, heads, strict=True)]
+    cuts = [np.unique(np.quantile(s, np.linspace(0, 1, THRESHOLDS + 1), method="lower")) for s in scores]
+
+    def above(x: np.ndarray) -> np.ndarray:
+        x = scaled(x)
+        return np.concatenate([len(x) - np.searchsorted(np.sort(x @ w), c) for w, c in zip(heads, cuts, strict=True)])
+
+    counts = np.split(totals(above), np.cumsum([len(c) for c in cuts])[:-1])
+    # of each positive, the share of unlabelled rows that score as high
+    ranks = np.sort(np.concatenate([k[np.searchsorted(c, s, "right") - 1] / n for s, c, k in zip(scores, cuts, counts, strict=True)]))
+    of_p = np.arange(1, len(ranks) + 1) / (len(ranks) + 1)
+    margin = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(n) + 1 / np.sqrt(len(ranks)))
+    at = int(np.argmin((ranks + 1.01 * margin) / of_p))
+    # the least of many ratios is too low by chance: two standard errors keep clean documents on few labels
+    u, p = ranks[at], of_p[at]
+    off = (np.sqrt(u * (1 - u) / n) + u * np.sqrt((1 - p) / p / len(ranks))) / p
+    prior = float(np.clip(u / p + 2 * off, 0.01, 0.99))
+    return prior, max(0.0, prior - u / p)
 
 
 def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -141,61 +235,79 @@ def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def train(labelled: np.ndarray, y: np.ndarray, unlabelled: np.ndarray) -> Model:
+def train(labelled: np.ndarray, y: np.ndarray, unlabelled: np.ndarray | Totals, calibrate: bool = False) -> Model:
+    """A model from statistics of labelled rows, and of unlabelled rows or sums over them."""
     width = len(NAMES)
     positives = labelled[y == 1]
-    both = bool(len(positives)) and bool((y == 0).any())
-    prior = float((y == 1).mean()) if len(y) else 1.0
-    if not len(positives) or not len(unlabelled):
-        return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.0, 60.0 * (prior >= 0.5) - 30.0, prior)
-    all_ = np.vstack([positives, unlabelled])
-    mean, scale = all_.mean(axis=0), np.maximum(all_.std(axis=0), LEAST_SCALE)
-    norm = lambda x: np.clip((x - mean) / scale, -8, 8)
-    xp, xu = norm(positives), norm(unlabelled)
-    if not both:  # positives against unlabelled: the mean score of positives is P(labelled | positive)
-        w, b = _descend(xp, xu, 0.5)
-        prior = float(np.clip(_sigmoid(xu @ w + b).mean() / max(1e-6, _sigmoid(xp @ w + b).mean()), 0.05, 0.99))
-    w, b = _descend(xp, xu, prior)
-    slope, shift = _calibrated(norm(labelled) @ w + b, y) if both else (1.0, 0.0)
-    return Model(mean, scale, w, b, slope, shift, prior)
+    totals = unlabelled if callable(unlabelled) else (lambda f: f(unlabelled))
+    n, *sums = totals(_moments) if len(positives) else (0,)
+    if not len(positives) or not n:
+        known = 0.0 if len(y) and not len(positives) else 1.0
+        return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 0.0, 60.0 * known - 30.0, known)
+    sums = np.array(sums)
+    mean = sums[:width] / n
+    scaled = Scaled(mean, np.maximum(np.sqrt(np.maximum(sums[width:] / n - mean * mean, 0)), LEAST_SCALE))
+    folds = [positives[k::FOLDS] for k in range(FOLDS)] if len(positives) >= 2 * FOLDS else [positives]
+    seen = [np.vstack([x for x in folds if x is not fold]) for fold in folds] if len(folds) > 1 else folds
+    prior, slack = _prior(folds, _minimised(seen, None, 0.0, scaled, totals, n), scaled, totals, n)
+    (w,) = _minimised([positives], prior, slack, scaled, totals, n)
+    slope, shift = _calibrated(scaled(labelled) @ w, y) if calibrate and (y == 0).any() else (1.0, 0.0)
+    return Model(mean, scaled.scale, w[:-1], float(w[-1]), slope, shift, prior)
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    sample_rows: int = SAMPLE_ROWS,
+    sample_rows: int = SAMPLE_ROWS, calibrate: bool = False,
 ) -> Model:
-    """A model from rows of ``labels`` and ``docs``, each sampled to about ``sample_rows`` by a hash.
+    """A model from ``labels``, sampled to about ``sample_rows`` by a hash of the id, and from all of ``docs``.
 
-    Statistics are made on executors for the sampled rows; the driver collects those alone.
+    Statistics of all rows are made once and written. The driver gets those of the sampled ids, one
+    row an id, and of all rows sums alone.
     """
     key, text = F.col(id_col).cast("string"), F.col(text_col).cast("string")
-    draw = lambda *of: F.pmod(F.xxhash64(*of), F.lit(1_000_003)).alias("d")
-    marks = labels.select(key.alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y is not null")
-    marks = marks.groupBy("k").agg((F.avg("y") >= 0.5).cast("int").alias("y")).select("k", "y", draw("k"))
-    texts = docs.select(key.alias("k"), text.alias("text"), draw(key, text)).where("k is not null")
-    n_marks, n_texts = marks.count(), texts.count()
-
-    def drawn(df: DataFrame, n: int) -> DataFrame:
-        return df.where(F.col("d") < F.lit(int(min(1.0, sample_rows / max(1, n)) * 1_000_003) + 1))
+    marks = labels.select(F.col(id_col).cast("string").alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y is not null")
+    marks = marks.groupBy("k").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
+    marks = written(marks if calibrate else marks.where("y = 1"), "marks")
+    share = min(1.0, sample_rows / max(1, marks.count()))
+    some = marks.where(F.pmod(F.xxhash64("k"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1))
+    known = written(_statistics(docs.select(key.alias("k"), text.alias("text")).where("k is not null")), "statistics")
+    # about sample_rows ids: small enough to send to all
+    got = known.join(F.broadcast(some), "k").groupBy("k", "y").agg(F.min("x").alias("x")).toArrow().to_pandas().sort_values("k", kind="stable")
+    x = np.stack(got["x"].to_numpy()).astype(np.float64) if len(got) else np.zeros((0, len(NAMES)))
+    anything = len(got) or labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).limit(1).count()
+    y = got["y"].to_numpy() if len(got) else np.zeros(1 if anything else 0, int)
+    return train(x if len(got) else np.zeros((len(y), len(NAMES))), y, _totals(known), calibrate)
+
+
+def _totals(known: DataFrame) -> Totals:
+    """Sums over the rows of a table of statistics: one row of sums a task, which are summed place by place."""
+
+    def totals(f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        size = len(f(np.zeros((0, len(NAMES)))))
+
+        def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(size)
+            for b in batches:
+                if b.num_rows:
+                    out += f(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], names=["s"])
+
+        rows = known.select("x").mapInArrow(per_task, "s array<double>").select(F.posexplode("s").alias("i", "v"))
+        got = rows.groupBy("i").agg(F.sum("v").alias("v")).toArrow()  # one row a place
+        out = np.zeros(size)
+        out[got.column("i").to_numpy()] = got.column("v").to_numpy()
+        return out
 
-    some = drawn(marks, n_marks).select("k", "y")  # about sample_rows rows, one an id: small enough to send to all
-    known = _collected(texts.join(F.broadcast(some), "k"))
-    # the draw of the unlabelled rows starts from the other end, so that both samples differ
-    free = texts.withColumn("d", F.lit(1_000_002) - F.col("d"))
-    loose = _collected(drawn(free, n_texts).withColumn("y", F.lit(-1)))
-    return train(known[0], known[1], loose[0])
+    return totals
 
 
-def _collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _statistics(rows: DataFrame) -> DataFrame:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [statistics(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["k", "y", "x"])
+            x = [statistics(t).astype(np.float32) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float32()))], names=["k", "x"])
 
-    got = rows.select("k", "y", "text").mapInArrow(per_batch, "k string, y int, x array<double>").toArrow().to_pandas()
-    got = got.sort_values(["k", "y"], kind="stable")
-    x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, len(NAMES)))
-    return x, got["y"].to_numpy()
+    return rows.mapInArrow(per_batch, "k string, x array<float>")
 
 
 def scored(text: Column, model: Model) -> Column:
