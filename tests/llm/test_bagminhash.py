@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 from textgate.llm import bagminhash as bag
 from tests.llm.conftest import SCHEMA, prose, row
@@ -68,3 +70,58 @@ def test_components_in_one_task_and_by_stars(spark):
     many = {tuple(r) for r in bag.components(df, 0).collect()}
     loops = {a for a, b in ties if a == b}
     assert many <= one and all(n == r and n in loops for n, r in one - many)
+
+
+def test_pairs_with_one_band_in_a_large_bucket(spark):
+    """All classes share one band and no other: each near pair is still found."""
+    rows = []
+    for i in range(60):
+        w = prose(700 + i, 120).split()
+        rows.append(row(2 * i, " ".join(w)))
+        w[i] = "changed"
+        rows.append(row(2 * i + 1, " ".join(w)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    signed = bag.sign(docs, "doc_id", "text").collect()
+    classes = [(r["class"], r.id, r.text_key, [7] + [1000 * n + k for k in range(1, bag.BANDS)], r.slots) for n, r in enumerate(signed)]
+    frame = spark.createDataFrame(classes, "class string, id long, text_key long, bands array<long>, slots array<long>")
+    named = {r["class"]: r.id for r in signed}
+    tied = {tuple(sorted((named[r.a], named[r.b]))) for r in bag.links(docs, frame, "doc_id", "text").collect()}
+    assert tied == {(2 * i, 2 * i + 1) for i in range(60)}
+
+
+def test_rows_of_one_id_and_text_leave_the_least(spark):
+    base = [row(1, prose(80), source=s) for s in ("c", "a", "b")] + [row(2, prose(81), source=None), row(2, prose(81), source="z")] + [row(3, prose(82))] * 3
+    found = []
+    for parts in (1, 3):
+        left = bag.deduplicated(spark.createDataFrame(base, SCHEMA).repartition(parts)).collect()
+        found.append(sorted((r.doc_id, r.source) for r in left if r.doc_id != 2))
+        assert len(left) == 3
+    assert found[0] == found[1] == [(1, "a"), (3, "a")]
+
+
+def test_recall_over_a_whole_table(spark):
+    """Every group of the small table, against all pairs that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    sets = [bag.shingles(t) for _, t in rows]
+    places = {}
+    for i, (h, _) in enumerate(sets):
+        for x in h.tolist():
+            places.setdefault(x, []).append(i)
+    near = {p for at in places.values() if len(at) > 1 for p in itertools.combinations(at, 2)}
+    near = [(i, j) for i, j in near if bag.similarity(sets[i], sets[j]) >= 0.8]
+    of = {r.doc_id: r.class_id for r in bag.groups(docs).collect()}
+    assert len(near) > 90 and all(of[rows[i][0]] == of[rows[j][0]] for i, j in near)
+    top = {i: i for i in range(len(rows))}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, j in near:
+        top[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, r in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), r[0]), r[0])
+    assert of == {r[0]: least[root(i)] for i, r in enumerate(rows)}

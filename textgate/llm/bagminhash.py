@@ -11,12 +11,11 @@ point at a time, and a process ends once it is later than every slot of its text
 Texts of one multiset are one class. Classes that agree in a band of slots are candidates. First
 every class is checked, in a few rounds, against one class drawn anew for each of its buckets,
 which ties large groups together with as many checks as members; then the pairs of a bucket that
-are still in different components are checked. In buckets beyond ``BUCKET`` classes such a pair must share a second band
-too, and both must have enough shingles in common with any other class of such buckets to be a link
-at all, so that a passage that many texts share does not pair them all; what remains is paired in
-full, so that nothing is capped. A check first compares signatures and then the
-complete multisets; pairs of similarity ``least`` or more are links, and their connected components
-are the groups.
+are still in different components are checked, all of them. In buckets beyond ``BUCKET`` classes
+both of a pair must have enough shingles in common with other classes of such buckets to be a link
+at all, which is a bound and loses none, so that a passage that many texts share does not pair them
+all. A check first compares signatures and then the complete multisets; pairs of similarity
+``least`` or more are links, and their connected components are the groups.
 
 Defined cases: words are runs of letters, digits and underscores, lower-cased; a text of one to
 four words is one shingle; a text without a word is the one shingle of its characters without
@@ -36,16 +35,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, text_or_empty, written
+from .common import discarded, joined_with_hot, released, text_or_empty, written
 
 WORDS = 5
 BANDS = 32
 ROWS = 6
 SLOTS = BANDS * ROWS
 LEAST = 0.8
-#: Signatures alone rule a pair out below this share of equal slots: 3.5 deviations under 0.8, so
-#: that they lose 2 in 10,000 pairs of similarity 0.8 and 1 in 100,000 of 0.82.
-LEAST_SLOTS = 0.7
+#: Signatures alone rule a pair out below this share of equal slots: 5.2 deviations under 0.8, so
+#: that they lose fewer than 1 in a million pairs of similarity 0.8.
+LEAST_SLOTS = 0.65
 BUCKET = 48
 STARS = 2
 #: So many links (of two 32-character names) at most are united in one task.
@@ -134,14 +133,16 @@ def _class_key(found: tuple[np.ndarray, np.ndarray]) -> str:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text_key, class, bands, slots (8 bits of each slot, eight slots a long); a narrow map."""
+    """id, text_key, row, class, bands, slots (8 bits of each slot, eight slots a long); a narrow map.
+
+    ``row`` tells rows apart that repeat entirely, once the result is written."""
     kind = docs.schema[id_col].dataType.simpleString()
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_key"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
+            texts = b.column(3).to_pylist()
             at = 0
             while at < len(texts):
                 held, total, first = [], 0, at
@@ -154,13 +155,13 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 keys = bands(s)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).slice(first, at - first), b.column(1).slice(first, at - first), pa.array(map(_class_key, held), pa.string()),
+                        *(b.column(i).slice(first, at - first) for i in range(3)), pa.array(map(_class_key, held), pa.string()),
                         pa.array(list(keys), pa.list_(pa.int64())), pa.array(list(small.view(np.int64)), pa.list_(pa.int64())),
                     ],
-                    names=["id", "text_key", "class", "bands", "slots"],
+                    names=["id", "text_key", "row", "class", "bands", "slots"],
                 )
 
-    return rows.mapInArrow(per_batch, f"id {kind}, text_key long, class string, bands array<long>, slots array<long>")
+    return rows.mapInArrow(per_batch, f"id {kind}, text_key long, row long, class string, bands array<long>, slots array<long>")
 
 
 def _equal_slots(x: str, y: str) -> Column:
@@ -218,7 +219,7 @@ def components(links: DataFrame, in_one_task: int = LINKS_IN_ONE_TASK) -> DataFr
     and small stars alternate: every round is a written table and costs joins on nodes, which Spark
     splits where one node has many links; rounds end when the links no longer change.
     """
-    links = written(links.select("a", "b"), "ties")
+    links = links if getattr(links, "written_to", None) else written(links.select("a", "b"), "ties")
     if links.count() <= in_one_task:
         return links.coalesce(1).mapInArrow(_united, "node string, root string")
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
@@ -255,8 +256,8 @@ def _apart(buckets: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, least: float = LEAST) -> DataFrame:
-    """Verified pairs of classes: every pair of classes that shares a band is one of them, or was
-    checked, or lies in one component already."""
+    """Verified pairs of classes, as a written table: every pair of classes that shares a band is one
+    of them, or was checked, or lies in one component already."""
     rows = classes.select("class", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = written(rows.join(shared, "key"), "buckets")
@@ -269,7 +270,7 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, least
     texts = written(texts.groupBy("class").agg(F.min("text").alias("text")), "texts")
     slots = classes.select("class", "slots")
     apart = buckets.withColumn("root", F.col("class")).join(slots, "class")
-    found = tried = None
+    found = tried = rest = None
     for turn in range(STARS):
         # each bucket's classes against two of them, others in each bucket and round
         draw = F.struct(F.xxhash64("class", "key", F.lit(turn)).alias("h"), F.col("class").alias("c"), F.col("root").alias("r"), F.col("slots").alias("s"))
@@ -279,28 +280,31 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, least
         pairs = pairs.select("a", "b").distinct()
         pairs = written(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs, "pairs")
         new = _links(pairs, texts, least)
-        found = written(found.unionByName(new) if turn else new, "links")
+        before, found = found, written(found.unionByName(new) if turn else new, "links")
         tried = tried.unionByName(pairs) if turn else pairs
-        rest = written(_apart(buckets, components(found)), "apart")
-        pairs = new = centres = draw = None
+        last, rest = rest, written(_apart(buckets, components(found)), "apart")
+        discarded(before, last)
+        new = centres = draw = None
         released(docs.sparkSession)
         apart = rest.where(F.col("n") > BUCKET).join(slots, "class")
         if not apart.limit(1).count():
             break
     # what is still apart: all pairs that can be links, each in the first of its common buckets
-    small = rest.where(F.col("n") <= BUCKET).select("class", "key", "root", *[F.lit(0.0).alias(c) for c in ("mass", "size")], F.lit(1).alias("common"))
+    small = rest.where(F.col("n") <= BUCKET).select("class", "key", "root", *[F.lit(0.0).alias(c) for c in ("mass", "size")])
     mass = _shared_mass(texts.join(apart.select("class").distinct(), "class"), least)
-    large = apart.select("class", "key", "root").join(mass, "class").withColumn("common", F.lit(2))
+    large = apart.select("class", "key", "root").join(mass, "class")
     cells = small.unionByName(large).join(classes.select("class", "bands", "slots"), "class")
     other = cells.select("key", *[F.col(c).alias(f"{c}_b") for c in ("class", "root", "mass", "size", "bands", "slots")])
-    both, bands_ = F.least("mass", "mass_b"), F.array_intersect("bands", "bands_b")
+    both = F.least("mass", "mass_b")
     pairs = cells.join(other, "key").where(
         (F.col("class") < F.col("class_b")) & (F.col("root") != F.col("root_b")) & (both >= least * (F.col("size") + F.col("size_b") - both))
-        & (F.size(bands_) >= F.col("common")) & (F.get(bands_, F.lit(0)) == F.col("key")) & (_equal_slots("slots", "slots_b") >= LEAST_SLOTS)
+        & (_equal_slots("slots", "slots_b") >= LEAST_SLOTS) & (F.get(F.array_intersect("bands", "bands_b"), F.lit(0)) == F.col("key"))
     )
     pairs = pairs.select(F.col("class").alias("a"), F.col("class_b").alias("b")).distinct()
     pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    return found.unionByName(_links(pairs, texts, least))
+    all_ = written(found.unionByName(_links(pairs, texts, least)), "all")
+    discarded(buckets, texts, found, rest, pairs)
+    return all_
 
 
 def _shared_mass(texts: DataFrame, least: float) -> DataFrame:
@@ -328,46 +332,52 @@ def _shared_mass(texts: DataFrame, least: float) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
-    """id, text_key, times, class_id, group_size, n_links, stays: one row per distinct id and text."""
+    """id, text_key, class_id, group_size, stays: one row per row of ``docs``."""
     signed = written(sign(docs, id_col, text_col), "signed")
-    best = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("text_key").alias("text_key"))
+    best = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("text_key").alias("text_key"), F.col("row").alias("row"))
     classes = signed.groupBy("class").agg(
         F.min(best).alias("best"), F.count(F.lit(1)).alias("rows"), F.first("bands").alias("bands"), F.first("slots").alias("slots")
     )
-    classes = written(classes.select("class", "best.id", "best.text_key", "rows", "bands", "slots"), "classes")
-    found = written(links(docs, classes, id_col, text_col, least), "all")
-    degree = found.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
+    classes = written(classes.select("class", "best.id", "best.text_key", "best.row", "rows", "bands", "slots"), "classes")
+    found = links(docs, classes, id_col, text_col, least)
     tied = components(found).withColumnRenamed("node", "class")
-    of = classes.select("class", "id", "text_key", "rows").join(tied, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    leader = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("class").alias("class"))
-    whole = of.groupBy("root").agg(F.min(leader).alias("leader"), F.sum("rows").alias("group_size"))
-    of = of.join(whole, "root").join(degree, "class", "left").select(
-        "class", F.col("id").alias("first_id"), F.col("text_key").alias("first_key"), F.col("leader.id").alias("class_id"),
-        (F.col("leader.class") == F.col("class")).alias("leads"), "group_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-    )
-    alike = signed.groupBy("id", "text_key", "class").agg(F.count(F.lit(1)).alias("times"))
-    stays = F.col("leads") & F.col("id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
-    return alike.join(of, "class").select("id", "text_key", "times", "class_id", "group_size", "n_links", stays.alias("stays"))
+    of = classes.select("class", "id", "row", "rows").join(tied, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    of = written(of, "of")
+    leader = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("class").alias("class"), F.col("row").alias("row"))
+    whole = of.groupBy("root").agg(F.min(leader).alias("leader"), F.sum("rows").alias("group_size"), F.count(F.lit(1)).alias("classes"))
+    whole = written(whole.select("root", F.col("leader.id").alias("class_id"), F.col("leader.row").alias("first"), "group_size", "classes"), "whole")
+    of = written(joined_with_hot(of.select("class", "root", "rows"), whole, "root", "classes").select("class", "rows", "class_id", "first", "group_size"), "named")
+    rows = joined_with_hot(signed.select("id", "text_key", "row", "class"), of, "class", "rows")
+    return rows.select("id", "text_key", "class_id", "group_size", (F.col("row") == F.col("first")).alias("stays"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """doc_id, class_id, group_size, n_links, kept: one row per row of ``docs``.
+    """doc_id, class_id, group_size, kept: one row per row of ``docs``.
 
-    ``class_id`` is the least id of the group, ``group_size`` its number of rows, ``n_links`` the
-    verified links of the row's class to other classes, and ``kept`` marks one row of each group.
-    ``n_links`` counts links among the pairs that were checked: pairs already in one component are
-    not, so it depends on the drawn classes and is no count of all partners at ``least`` or more.
+    ``class_id`` is the least id of the group, ``group_size`` its number of rows, and ``kept`` marks
+    one row of each group.
     """
     rows = _grouped(docs, id_col, text_col, least)
-    return rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth")).select(
-        F.col("id").alias("doc_id"), "class_id", "group_size", "n_links", (F.col("stays") & (F.col("nth") == 1)).alias("kept")
-    )
+    return rows.select(F.col("id").alias("doc_id"), "class_id", "group_size", F.col("stays").alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates, its columns as they were."""
-    rows = written(_grouped(docs, id_col, text_col, least), "grouped")
-    go = rows.where(~F.col("stays")).select("id", "text_key")
-    left = docs.join(go, docs[id_col].eqNullSafe(go["id"]) & (F.xxhash64(text_or_empty(text_col)) == go["text_key"]), "left_anti")
-    # rows that repeat their id and text entirely: one of them stays
-    return left.dropDuplicates([id_col, text_col]) if rows.where("stays and times > 1").limit(1).count() else left
+    """``docs`` with one row of each group of near-duplicates, its columns as they were.
+
+    Of rows that repeat their id and text, the one whose other columns are the least as text stays.
+    """
+    rows = _grouped(docs, id_col, text_col, least).groupBy("id", "text_key").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times"))
+    rows = written(rows, "grouped")
+    key = F.xxhash64(text_or_empty(text_col))
+
+    def is_in(these: DataFrame) -> list[Column]:
+        return [docs[id_col].eqNullSafe(these["id"]), key == these["text_key"]]
+
+    go, again = rows.where("NOT stays"), rows.where("stays AND times > 1")
+    if not again.limit(1).count():
+        return docs.join(go, is_in(go), "left_anti")
+    go = rows.where("NOT stays OR times > 1")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = docs.join(again, is_in(again), "left_semi").select(F.col(id_col).alias("i"), key.alias("t"), whole.alias("w"))
+    one = repeated.groupBy("i", "t").agg(F.min_by("w", F.to_json("w")).alias("w")).select("w.*")
+    return docs.join(go, is_in(go), "left_anti").unionByName(one)
