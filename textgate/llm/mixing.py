@@ -40,8 +40,8 @@ SENT_SOURCES = 20_000
 UNIT = 1 << 52
 #: So many blocks of a source are summed before their order is looked at, so that no task sorts them all.
 BLOCKS_AT_ONCE = 4096
-#: Scripts that are written without blanks between words.
-UNSPACED = "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}]"
+#: Thai, Lao, Burmese, Khmer, Kana and Han: scripts that are written without blanks between words.
+UNSPACED = "[\\u0e00-\\x{323af}&&[\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff\\u3040-\\u30ff\\u3400-\\u9fff\\uf900-\\ufaff\\x{20000}-\\x{323af}]]"
 
 
 def tokens(text: Column) -> Column:
