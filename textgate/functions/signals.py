@@ -7,11 +7,14 @@ Spans are code point offsets into the original text, so they are found in Python
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .prefilter import ODD_LETTERS, PLAIN_LETTERS, Prefilter, plan
+
 # Rules in their order of evaluation.
 WEB_TLDS = (
     "ae|ai|app|ar|au|bank|bd|be|biz|br|bw|bz|ca|cc|ch|cl|click|cloud|cn|co|com|de|"
@@ -42,23 +45,23 @@ RULES = {
     "off_platform_request": r"\b(?:move|continue|message me)\b.{0,30}\b(?:telegram|whatsapp|signal)\b",
 }
 CATEGORY_WORDS = (
-    ("DELIVERY_TOLL_PARKING", "package, parcel, delivery, toll, parking"),
-    ("CREDENTIAL_MFA", "password, otp, verification code, digit code, fraud desk, login, sign in, mailbox session, mfa"),
-    ("GOVERNMENT_LEGAL", "irs, police, court, customs, government, tax, detective, warrant, station"),
-    ("TECH_SUPPORT", "tech support, microsoft support, virus, anydesk, teamviewer"),
-    ("JOB_OPPORTUNITY", "job, recruiter, hiring, hired, work from home, interview, onboarding fee, position"),
-    ("FAMILY_EXECUTIVE", "mom, mum, dad, auntie, grandpa, son, daughter, ceo, boss, board meeting, approve the paperwork, temporary number, phone broke"),
-    ("ROMANCE_RELATIONSHIP", "romance, soulmate, future together, planning our future, love, inheritance, only you"),
-    ("INVESTMENT_CRYPTO", "investment, bitcoin, crypto, guaranteed return, forex"),
-    ("PRIZE_LOTTERY", "winner, prize, lottery, sweepstakes"),
-    ("MARKETPLACE", "marketplace, buyer, seller, shipping agent, listing"),
-    ("PAYMENT_INVOICE", "invoice, payment, wire transfer"),
-    ("FINANCIAL_IMPERSONATION", "bank, card, account frozen, fraud department, payroll, routing details, direct-deposit, salary account"),
-    ("CHARITY", "charity, donation, fundraiser"),
+    ("DELIVERY_TOLL_PARKING", ("package", "parcel", "delivery", "toll", "parking")),
+    ("CREDENTIAL_MFA", ("password", "otp", "verification code", "digit code", "fraud desk", "login", "sign in", "mailbox session", "mfa")),
+    ("GOVERNMENT_LEGAL", ("irs", "police", "court", "customs", "government", "tax", "detective", "warrant", "station")),
+    ("TECH_SUPPORT", ("tech support", "microsoft support", "virus", "anydesk", "teamviewer")),
+    ("JOB_OPPORTUNITY", ("job", "recruiter", "hiring", "hired", "work from home", "interview", "onboarding fee", "position")),
+    ("FAMILY_EXECUTIVE", ("mom", "mum", "dad", "auntie", "grandpa", "son", "daughter", "ceo", "boss", "board meeting", "approve the paperwork", "temporary number", "phone broke")),
+    ("ROMANCE_RELATIONSHIP", ("romance", "soulmate", "future together", "planning our future", "love", "inheritance", "only you")),
+    ("INVESTMENT_CRYPTO", ("investment", "bitcoin", "crypto", "guaranteed return", "forex")),
+    ("PRIZE_LOTTERY", ("winner", "prize", "lottery", "sweepstakes")),
+    ("MARKETPLACE", ("marketplace", "buyer", "seller", "shipping agent", "listing")),
+    ("PAYMENT_INVOICE", ("invoice", "payment", "wire transfer")),
+    ("FINANCIAL_IMPERSONATION", ("bank", "card", "account frozen", "fraud department", "payroll", "routing details", "direct-deposit", "salary account")),
+    ("CHARITY", ("charity", "donation", "fundraiser")),
 )
 DATASET_CATEGORY_WORDS = (
-    ("CREDENTIAL_THEFT", "password, otp, verification code, sign-in"), ("DELIVERY_TOLL", "parcel, delivery, toll, shipping"),
-    ("OPPORTUNITY", "job, hired, earn, work from home"), ("FINANCIAL", "bank, payment, loan, investment, refund"),
+    ("CREDENTIAL_THEFT", ("password", "otp", "verification code", "sign-in")), ("DELIVERY_TOLL", ("parcel", "delivery", "toll", "shipping")),
+    ("OPPORTUNITY", ("job", "hired", "earn", "work from home")), ("FINANCIAL", ("bank", "payment", "loan", "investment", "refund")),
 )
 STRONG = (
     "advance_fee", "contact_diversion", "credential_request", "guaranteed_return", "off_platform_request", "otp_request", "remote_access_request",
@@ -87,22 +90,46 @@ MATCH_TYPE = "array<struct<signal:string,text:string,start:int,end:int>>"
 
 _COMPILED = [(name, re.compile(pattern, re.I)) for name, pattern in RULES.items()]
 _SKIPPED = re.compile(r"​|(?<=\s)[.:;|](?=\s)")
+_MARKS = frozenset(".:;|")
+_MAY_MATCH: list[Prefilter] = []
+
+
+def _may_match() -> Prefilter:
+    if not _MAY_MATCH:
+        _MAY_MATCH.append(Prefilter(RULES))
+    return _MAY_MATCH[0]
 
 
-def searchable(text: str) -> tuple[str, list[int]]:
-    """The text without zero-width spaces and lone separators, spaces collapsed, and each kept place."""
-    places = [i for i in range(len(text))]
-    for m in reversed(list(_SKIPPED.finditer(text))):
-        del places[m.start() : m.end()]
-    kept = [i for n, i in enumerate(places) if not (n and text[i].isspace() and text[places[n - 1]].isspace())]
-    return "".join(" " if text[i].isspace() else text[i] for i in kept), kept
+def plain(text: str) -> str:
+    """The text without zero-width spaces and lone separators, and with spaces collapsed."""
+    parts = text.split()
+    if "​" in text or not _MARKS.isdisjoint(parts):
+        text = _SKIPPED.sub("", text)
+        parts = text.split()
+    if not parts:
+        return " " if text else ""
+    return " " * text[0].isspace() + " ".join(parts) + " " * text[-1].isspace()
+
+
+def kept_places(text: str) -> list[int]:
+    """The place in the text of each character of ``plain(text)``."""
+    places, at = [], 0
+    for m in _SKIPPED.finditer(text):
+        places.extend(range(at, m.start()))
+        at = m.end()
+    places.extend(range(at, len(text)))
+    spaces = [text[i].isspace() for i in places]
+    return [i for n, i in enumerate(places) if not (n and spaces[n] and spaces[n - 1])]
 
 
 def matches(text: str | None) -> list[dict]:
     """First match of each rule, with its span in the original text."""
-    plain, places = searchable(text or "")
-    found = ((name, pattern.search(plain)) for name, pattern in _COMPILED)
-    spans = [(name, places[m.start()], places[m.end() - 1] + 1) for name, m in found if m]
+    text = text or ""
+    searched = plain(text)
+    may = _may_match()(searched)
+    found = [(name, m) for name, pattern in _COMPILED if name in may and (m := pattern.search(searched))]
+    places = kept_places(text) if found else []
+    spans = [(name, places[m.start()], places[m.end() - 1] + 1) for name, m in found]
     return [{"signal": name, "text": text[a:b], "start": a, "end": b} for name, a, b in spans]
 
 
@@ -115,17 +142,42 @@ def signal_matches(text: Column) -> Column:
 
 
 def signal_flags(text: Column) -> dict[str, Column]:
-    """One boolean per rule, all in the JVM: for counts and filters that need no spans."""
-    plain = F.regexp_replace(F.regexp_replace(text, "​|(?U)(?<=\\s)[.:;|](?=\\s)", ""), r"(?U)\s+", " ")
-    return {name: plain.rlike(f"(?iU){pattern}") for name, pattern in RULES.items()}
+    """One boolean per rule, all in the JVM: for counts and filters that need no spans.
+
+    A rule is searched only in texts that contain one of its literals; the plain and the folded text
+    are made once for all rules.
+    """
+    stripped = F.regexp_replace(F.regexp_replace(text, "​|(?U)(?<=\\s)[.:;|](?=\\s)", ""), r"(?U)\s+", " ")
+    both = F.transform(F.array(stripped), lambda t: F.struct(t.alias("t"), F.lower(F.translate(t, ODD_LETTERS, PLAIN_LETTERS)).alias("low")))
+
+    def flag(x: Column, pattern: str) -> Column:
+        told, rest = plan(pattern)
+        may = [F.exists(F.array(*map(F.lit, told)), lambda w: F.contains(x["low"], w))] if told else []
+        may += [x["t"].rlike(f"(?iU){way}") for way in rest]
+        return reduce(Column.__or__, may) & x["t"].rlike(f"(?iU){pattern}")
+
+    flags = F.get(F.transform(both, lambda x: F.struct(*[flag(x, pattern).alias(name) for name, pattern in RULES.items()])), F.lit(0))
+    return {name: flags[name] for name in RULES}
+
+
+def _any_word(text: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+
+
+#: Characters whose case folding has ASCII letters that lower case does not give.
+FOLDS = (("ſ", "s"), ("ß", "ss"), ("ẞ", "ss"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
 
 
-def _any_word(text: Column, words: str) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words.split(", ")]), lambda w: F.contains(text, w))
+def folded_letters(text: Column) -> Column:
+    """Lower case, with all ASCII letters that case folding gives."""
+    lowered, out = F.lower(text), F.lower(text)
+    for c, letters in FOLDS:
+        out = F.replace(out, F.lit(c), F.lit(letters))
+    return F.when(lowered.rlike("[" + "".join(c for c, _ in FOLDS) + "]"), out).otherwise(lowered)
 
 
 def infer_category(text: Column, signals: Column) -> Column:
-    lowered, out = F.lower(text), F.when(F.size(signals) > 0, "OTHER_SCAM").otherwise("UNKNOWN")
+    lowered, out = folded_letters(text), F.when(F.size(signals) > 0, "OTHER_SCAM").otherwise("UNKNOWN")
     for name, words in reversed(CATEGORY_WORDS):
         out = F.when(_any_word(lowered, words), name).otherwise(out)
     return out

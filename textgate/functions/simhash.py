@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -10,32 +12,43 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CACHE: dict[str, int] = {}
-CACHE_GRAMS = 1_000_000
+#: Skeletons have these characters only; four of them are one of 2 ** 20 numbers.
+ALPHABET = " <>abcdefghijklmnopqrstuvwxyz"
+_CODES = np.full(128, 255, np.uint8)
+_CODES[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
+_HASHES = np.zeros(1 << 20, ">u8")
+_KNOWN = np.zeros(1 << 20, bool)
 
 
 def _gram(gram: str) -> int:
-    h = _CACHE.get(gram)
-    if h is None:
-        if len(_CACHE) >= CACHE_GRAMS:
-            _CACHE.clear()
-        h = _CACHE[gram] = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "big")
-    return h
+    return int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "big")
+
+
+def _numbers(padded: str) -> np.ndarray | None:
+    """The numbers of a text's 4-grams; nothing for a text with other characters."""
+    if not padded.isascii():
+        return None
+    codes = _CODES[np.frombuffer(padded.encode(), np.uint8)].astype(np.int32)
+    if (codes == 255).any():
+        return None
+    return codes[:-3] << 15 | codes[1:-2] << 10 | codes[2:-1] << 5 | codes[3:]
 
 
 def signature(value: str) -> int:
-    """Unsigned signature: a bit is 1 where at least half of the grams have it. Each distinct gram is
-    hashed once and counted with its multiplicity."""
+    """Unsigned signature: a bit is 1 where at least half of the grams have it."""
     padded = f"  {value}  "
-    counts: dict[str, int] = {}
-    for i in range(max(1, len(padded) - 3)):
-        g = padded[i : i + 4]
-        counts[g] = counts.get(g, 0) + 1
-    hashes = np.array([_gram(g) for g in counts], dtype=">u8")
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-    n = np.fromiter(counts.values(), np.int64, len(counts))
-    ones = n @ bits.astype(np.int64)
-    return int.from_bytes(np.packbits(2 * ones >= n.sum()).tobytes(), "big")
+    numbers = _numbers(padded)
+    if numbers is None:
+        hashes = np.array([_gram(padded[i : i + 4]) for i in range(len(padded) - 3)], ">u8")
+    else:
+        for n in np.unique(numbers[~_KNOWN[numbers]]).tolist():
+            _HASHES[n] = _gram("".join(ALPHABET[n >> s & 31] for s in (15, 10, 5, 0)))
+            _KNOWN[n] = True
+        hashes = _HASHES[numbers]
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):  # long texts in pieces
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones >= len(hashes)).tobytes(), "big")
 
 
 def simhash64(skeleton: Column) -> Column:
@@ -78,5 +91,33 @@ def block_keys(sig: Column, radius: int = 6, blocks: int = 8) -> Column:
     ])
 
 
+def best_blocks(distinct: int, informative: int = 64, radius: int = 6) -> int:
+    """How many blocks make the fewest comparisons among so many signatures: more blocks are more keys
+    of more bits each. ``informative`` bits tell signatures apart."""
+
+    def cost(blocks: int) -> float:
+        keys, bits = math.comb(blocks, radius), informative * (blocks - radius) / blocks
+        return keys * (4 + distinct / 2**bits)
+
+    return min(range(radius + 1, radius + 6), key=cost)
+
+
+def spread_bits(sig: Column, shares: list[float], blocks: int) -> Column:
+    """The signature with its bits dealt anew, so that each block has as many that tell signatures apart.
+
+    ``shares`` has of each bit (from the lowest) how often it is 1. Distances stay as they are.
+    """
+    by_news = sorted(range(64), key=lambda i: (-shares[i] * (1 - shares[i]), i))
+    free = [[o + k for k in range(w)] for o, w in _cuts(blocks)]
+    target = [0] * 64
+    turn = 0
+    for bit in by_news:
+        while not free[turn % blocks]:
+            turn += 1
+        target[bit] = free[turn % blocks].pop(0)
+        turn += 1
+    return reduce(Column.bitwiseOR, [F.shiftleft(_block(sig, i, 1), to) for i, to in enumerate(target)])
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -86,11 +87,25 @@ def mask_account_ids(text: Column) -> Column:
     return F.regexp_replace(mask_source(text), ACCOUNT_ID, "<ACCOUNT_ID>")
 
 
+def bound(text: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a text that is made once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(text), f), F.lit(0))
+
+
+def replaced_where(text: Column, may: Callable[[Column], Column], pattern: str, mark: str) -> Column:
+    """A replacement that is tried only in texts of which a cheap test says that they may have a match."""
+    return bound(text, lambda t: F.when(may(t), F.regexp_replace(t, pattern, mark)).otherwise(t))
+
+
 def family_skeleton(text: Column, exact: bool = False) -> Column:
     """What near-templates share: addresses, numbers and mixed tokens as marks, letters only."""
-    text = fold_case(F.regexp_replace(clean(text, exact), TRACKING_SUFFIX, ""), exact)
-    for pattern, mark in ((URL, "<url>"), (EMAIL, "<email>"), (NUMBER, "<number>"), (MIXED_TOKEN, "<token>")):
-        text = F.regexp_replace(text, pattern, mark)
+    has = lambda *parts: lambda t: reduce(Column.__or__, [F.contains(t, F.lit(x)) for x in parts])
+    digits = lambda t: t.rlike(r"(?U)\d")
+    text = replaced_where(clean(text, exact), lambda t: t.rlike("[~=_|][~=_|]|[&*#][&*#]"), TRACKING_SUFFIX, "")
+    text = fold_case(text, exact)
+    steps = ((has("http", "www.", "[.]"), URL, "<url>"), (has("@"), EMAIL, "<email>"), (digits, NUMBER, "<number>"), (digits, MIXED_TOKEN, "<token>"))
+    for may, pattern, mark in steps:
+        text = replaced_where(text, may, pattern, mark)
     return F.trim(F.regexp_replace(F.regexp_replace(text, "[^a-z<> ]+", " "), SPACES, " "))
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def with_counts(rows: DataFrame, key: str, label: str = "label") -> DataFrame:
@@ -42,13 +47,46 @@ def duplicate_counts(rows: DataFrame, key: str) -> DataFrame:
 
 
 def set_digest(rows: DataFrame, value: str, by: str | None = None) -> DataFrame:
-    """Order-independent digests: SHA-256 of the sorted, newline-joined values.
+    """Order-independent digests: n, and the SHA-256 of the sorted, newline-joined values; nulls count
+    in n only, and an empty table has no digest.
 
-    The statement needs all values of a group in one text, so it is for id lists of bounded groups.
+    A digest is sequential by definition: one task makes it, from a sorted stream of which it holds a
+    batch, so its memory does not grow with the group.
     """
-    joined = F.sha2(F.array_join(F.sort_array(F.collect_list(value)), "\n").cast("binary"), 256).alias("digest")
-    grouped = rows.groupBy(by) if by else rows.groupBy()
-    return grouped.agg(F.count(F.lit(1)).alias("n"), joined)
+    kind = rows.schema[by].dataType if by else None
+    values = rows.select(*([F.col(by).alias("k")] if by else [F.lit(None).cast("string").alias("k")]), F.col(value).cast("string").alias("v"))
+    dealt = values.repartition("k") if by else values.repartition(1)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, said, digest, none = None, 0, 0, None, True
+        out: list[tuple] = []
+        for b in batches:
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if none or k != key:
+                    if not none:
+                        out.append((key, n, digest.hexdigest()))
+                    key, n, said, digest, none = k, 0, 0, hashlib.sha256(), False
+                n += 1
+                if v is not None:
+                    digest.update((b"\n" if said else b"") + v.encode("utf-8", "surrogatepass"))
+                    said += 1
+            if len(out) >= 10_000:
+                yield _digests(out, arrow)
+                out = []
+        if not none:
+            out.append((key, n, digest.hexdigest()))
+        if out:
+            yield _digests(out, arrow)
+
+    arrow = to_arrow_type(kind) if by else pa.string()
+    name = kind.simpleString() if by else "string"
+    found = dealt.sortWithinPartitions("k", "v").mapInArrow(digests, f"k {name}, n long, digest string")
+    return found.select(F.col("k").alias(by), "n", "digest") if by else found.select("n", "digest")
+
+
+def _digests(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    k, n, digest = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(k, kind), pa.array(n, pa.int64()), pa.array(digest, pa.string())], names=["k", "n", "digest"])
 
 
 def without_exact(rows: DataFrame, protected: DataFrame, key: str) -> DataFrame:

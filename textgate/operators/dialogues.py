@@ -48,3 +48,26 @@ def strongest(turns: DataFrame, key: str, order: str, score: Column) -> DataFram
     """Per conversation the turn of the greatest score, the earliest on ties."""
     rank = F.struct(score.alias("score"), (-F.col(order)).alias("at"))
     return turns.groupBy(key).agg(F.max(rank).alias("best")).select(key, (-F.col("best.at")).alias(order), F.col("best.score").alias("score"))
+
+
+def shaped_contexts(rows: DataFrame, group: str, state: str, text: str, after: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Of siblings whose texts differ in one line: group, state and the text up to that line with the last
+    ``after`` lines; and the groups that break the rule, with the problem.
+
+    Lines are counted per group and place, so no group's texts are gathered.
+    """
+    lines = F.split(F.col(text), "\n")
+    rows = rows.select(group, state, lines.alias("lines"), F.size(lines).alias("n"))
+    sizes = rows.groupBy(group).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    places = rows.select(group, F.posexplode("lines").alias("at", "line")).groupBy(group, "at").agg(F.min("line").alias("a"), F.max("line").alias("b"))
+    changing = places.where("a <> b").groupBy(group).agg(F.count(F.lit(1)).alias("changes"), F.min("at").alias("first"), F.max("at").alias("decisive"))
+    found = sizes.join(changing, group, "left").withColumn("changes", F.coalesce("changes", F.lit(0)))
+    problem = (
+        F.when(F.col("least") != F.col("most"), "line counts differ")
+        .when(F.col("changes") != 1, F.concat(F.col("changes").cast("string"), F.lit(" lines change")))
+        .when(F.col("least") - after <= F.col("decisive"), "no lines after the decisive one")
+    )
+    found = found.withColumn("problem", problem)
+    good = rows.join(found.where("problem IS NULL").select(group, "decisive"), group)
+    kept = F.concat(F.slice("lines", F.lit(1), F.col("decisive") + 1), F.slice("lines", F.col("n") - after + 1, F.lit(after)))
+    return good.select(group, state, F.array_join(kept, "\n").alias("text")), found.where("problem IS NOT NULL").select(group, "problem")

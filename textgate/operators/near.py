@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.simhash import block_keys, hamming, simhash64
+from ..functions.simhash import best_blocks, block_keys, hamming, simhash64, spread_bits
 from ..functions.text import family_skeleton, normalized, short_hash, split_for_family
 from ..storage import written
 
@@ -16,30 +16,44 @@ RADIUS = 6
 EDGES_IN_ONE_TASK = 500_000
 
 
-def signatures(rows: DataFrame, text: str = "text", exact: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Rows with the hash of their skeleton, and one signature per skeleton.
+def signatures(rows: DataFrame, text: str = "text", exact: bool = False, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (their columns ``keep``, or all) with the hash of their skeleton, and one signature per skeleton.
 
-    Equal skeletons have equal signatures, so each is signed once and joins never see its copies.
+    Skeletons and signatures are made once, in one narrow map whose result is written: no text is
+    shuffled. Equal skeletons have equal signatures, so joins never see their copies.
     """
-    rows = rows.withColumn("skeleton", family_skeleton(F.col(text), exact))
-    rows = rows.withColumn("skeleton_hash", short_hash(F.col("skeleton")))
-    signed = rows.groupBy("skeleton_hash").agg(F.first("skeleton").alias("skeleton"))
-    return rows.drop("skeleton"), signed.select("skeleton_hash", simhash64(F.col("skeleton")).alias("sig"))
+    keep = rows.columns if keep is None else keep
+    skeleton = rows.withColumn("__skeleton", family_skeleton(F.col(text), exact))
+    tagged = written(skeleton.select(*keep, short_hash(F.col("__skeleton")).alias("skeleton_hash"), simhash64(F.col("__skeleton")).alias("sig")), "signed")
+    return tagged.drop("sig"), tagged.groupBy("skeleton_hash").agg(F.first("sig").alias("sig"))
 
 
-def hamming_pairs(left: DataFrame, right: DataFrame | None = None, key: str = "skeleton_hash", radius: int = RADIUS, blocks: int = 8) -> DataFrame:
+def hamming_pairs(left: DataFrame, right: DataFrame | None = None, key: str = "skeleton_hash", radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """Pairs (a, b) of keys whose signatures differ in at most ``radius`` bits: an equi join on block
     keys, checked exactly. Without ``right``, pairs of one table with a < b, signatures first made
-    distinct so that a popular one is compared once."""
-    side = lambda d, n: d.select(F.col(key).alias(n), F.col("sig").alias(f"sig_{n}"), F.explode(block_keys(F.col("sig"), radius, blocks)).alias("block"))
-    if right is not None:
-        both = side(left, "a").join(side(right, "b"), "block")
-        return both.where(hamming(F.col("sig_a"), F.col("sig_b")) <= radius).select("a", "b").distinct()
+    distinct so that a popular one is compared once.
+
+    The signatures' bits are counted first. Their number and how evenly their bits fall decide on the
+    number of blocks (unless given), and each block gets its share of the bits that tell them apart.
+    """
     first = left.groupBy("sig").agg(F.min(key).alias(key))
-    both = side(first, "a").join(side(first, "b"), "block").where("a < b")
-    near = both.where(hamming(F.col("sig_a"), F.col("sig_b")) <= radius).select("a", "b").distinct()
+    counted = (first if right is None else left.select("sig").unionByName(right.select("sig"))).agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(F.getbit("sig", F.lit(i))).alias(f"b{i}") for i in range(64)]
+    ).first()
+    shares = [counted[f"b{i}"] or 0.0 for i in range(64)]
+    blocks = blocks or best_blocks(counted.n, sum(4 * p * (1 - p) for p in shares), radius)
+    dealt = block_keys(F.col("dealt"), radius, blocks)
+
+    def side(d: DataFrame, n: str) -> DataFrame:
+        rows = d.select(F.col(key).alias(n), F.col("sig").alias(f"sig_{n}"), spread_bits(F.col("sig"), shares, blocks).alias("dealt"))
+        return rows.select(n, f"sig_{n}", F.explode(dealt).alias("block"))
+
+    near = hamming(F.col("sig_a"), F.col("sig_b")) <= radius
+    if right is not None:
+        return side(left, "a").join(side(right, "b"), "block").where(near).select("a", "b").distinct()
+    both = side(first, "a").join(side(first, "b"), "block").where(near & (F.col("a") < F.col("b")))
     same = left.join(first.withColumnRenamed(key, "first"), "sig").where(F.col(key) != F.col("first")).select(F.col("first").alias("a"), F.col(key).alias("b"))
-    return near.unionByName(same)
+    return both.select("a", "b").distinct().unionByName(same)
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,9 +105,9 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node", in_one_ta
     return nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def clusters(rows: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """Rows with their cluster: skeleton_hash, root (least skeleton hash of the cluster)."""
-    tagged, signed = signatures(rows, text)
+def clusters(rows: DataFrame, text: str = "text", radius: int = RADIUS, keep: list[str] | None = None) -> DataFrame:
+    """Rows (their columns ``keep``, or all) with their cluster: skeleton_hash, root (least skeleton hash of the cluster)."""
+    tagged, signed = signatures(rows, text, keep=keep)
     signed = written(signed, "signatures")
     of = components(signed, hamming_pairs(signed, radius=radius), "skeleton_hash")
     return tagged.join(of.withColumnRenamed("node", "skeleton_hash"), "skeleton_hash")
@@ -112,7 +126,7 @@ def one_per_near_family(rows: DataFrame, label: str = "label", split: str = "spl
     """The representative of each near family of one label (``columns`` of it, or all), with family_id and
     the family's size n: the least row by split (test, validation or dev, train, others) and id. A missing
     label is a label of its own."""
-    found = clusters(rows, radius=radius)
+    found = clusters(rows, radius=radius, keep=list(dict.fromkeys((*(columns or rows.columns), label, split, id_col))))
     order = F.when(F.col(split) == "test", 0).when(F.col(split).isin("validation", "dev"), 1).when(F.col(split) == "train", 2).otherwise(3)
     per = found.groupBy("root").agg(
         F.min(F.struct(label)).alias("lo"), F.max(F.struct(label)).alias("hi"), F.count(F.lit(1)).alias("n"),
@@ -123,16 +137,21 @@ def one_per_near_family(rows: DataFrame, label: str = "label", split: str = "spl
 
 def overlapping(rows: DataFrame, references: DataFrame, radius: int = RADIUS) -> DataFrame:
     """skeleton_hash of rows that are near one of the references."""
-    _, left = signatures(rows)
-    _, right = signatures(references)
-    return hamming_pairs(left, right, radius=radius).select(F.col("a").alias("skeleton_hash")).distinct()
+    _, left = signatures(rows, keep=[])
+    return near_keys(left, references, radius)
+
+
+def near_keys(signed: DataFrame, references: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """skeleton_hash of signatures that are near one of the references."""
+    _, right = signatures(references, keep=[])
+    return hamming_pairs(signed, right, radius=radius).select(F.col("a").alias("skeleton_hash")).distinct()
 
 
 def overlap_per_file(rows: DataFrame, references: DataFrame, file: str = "file", radius: int = RADIUS) -> DataFrame:
     """file, exact, near: of every file of references, how many rows have the normalised text of one of its
     texts, and how many are near one (those that are equal included)."""
-    tagged, left = signatures(rows)
-    of, right = signatures(references)
+    tagged, left = signatures(rows, keep=[])
+    of, right = signatures(references, keep=[file])
     per = tagged.groupBy("skeleton_hash").agg(F.count(F.lit(1)).alias("n"))
     pairs = hamming_pairs(left, right, radius=radius)
     hit = pairs.join(of.select(F.col("skeleton_hash").alias("b"), file), "b").select(F.col("a").alias("skeleton_hash"), file).distinct()
@@ -146,7 +165,7 @@ def overlap_per_file(rows: DataFrame, references: DataFrame, file: str = "file",
 
 def split_leaks(rows: DataFrame, split: str = "split", id_col: str = "id", radius: int = RADIUS) -> DataFrame:
     """id_a, split_a, id_b, split_b: every pair of rows of different splits, ordered by id and split, whose texts are near."""
-    tagged, signed = signatures(rows)
+    tagged, signed = signatures(rows, keep=[split, id_col])
     signed = written(signed, "signatures")
     side = lambda n: tagged.select(F.col("skeleton_hash").alias(n), F.col(id_col).alias(f"id_{n}"), F.col(split).alias(f"split_{n}"))
     pairs = hamming_pairs(signed, signed, radius=radius).join(side("a"), "a").join(side("b"), "b")
@@ -155,13 +174,12 @@ def split_leaks(rows: DataFrame, split: str = "split", id_col: str = "id", radiu
 
 def remove_near(rows: DataFrame, references: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows that are near no reference."""
-    tagged, _ = signatures(rows)
-    return tagged.join(overlapping(rows, references, radius), "skeleton_hash", "left_anti")
+    tagged, signed = signatures(rows)
+    return tagged.join(near_keys(signed, references, radius), "skeleton_hash", "left_anti")
 
 
 def remove_families(rows: DataFrame, references: DataFrame, family: Column, radius: int = RADIUS) -> DataFrame:
     """Rows of families of which no row is near a reference."""
-    tagged, _ = signatures(rows)
-    tagged = tagged.withColumn("__family", family)
-    touched = tagged.join(overlapping(rows, references, radius), "skeleton_hash", "left_semi").select("__family").distinct()
+    tagged, signed = signatures(rows.withColumn("__family", family))
+    touched = tagged.join(near_keys(signed, references, radius), "skeleton_hash", "left_semi").select("__family").distinct()
     return tagged.join(touched, "__family", "left_anti").drop("__family")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,26 +31,33 @@ def sha(text: str) -> str:
 def least_loaded(rows: DataFrame, family: str, speaker: str, seed: str, id_col: str = "id") -> DataFrame:
     """One row per family, always of the speaker chosen least often so far.
 
-    Every choice depends on all earlier ones, so one task walks the families in hash order; it gets
-    one candidate per family and speaker, not the rows.
+    Every choice depends on all earlier ones, so one task walks the families in hash order. They come
+    to it sorted, as a stream: it holds one family's candidates (one a speaker) and the speakers' loads.
     """
     rank = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id_col)).cast("binary"), 256)
     first = rows.groupBy(family, speaker).agg(F.min(F.struct(rank.alias("h"), F.col(id_col).alias("id"))).alias("b"))
-    first = first.select(F.col(family).alias("family"), F.col(speaker).alias("speaker"), "b.h", "b.id", F.lit(0).alias("all"))
+    place = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(family)).cast("binary"), 256)
+    first = first.select(place.alias("place"), F.col(family).alias("family"), F.col(speaker).alias("speaker"), "b.h", "b.id")
 
-    def walk(table: pa.Table) -> pa.Table:
-        groups: dict[str, list[tuple[str, str, str]]] = {}
-        for f, s, h, i in zip(*(table.column(c).to_pylist() for c in ("family", "speaker", "h", "id")), strict=True):
-            groups.setdefault(f, []).append((s, h, i))
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load: dict[str, int] = {}
-        out = []
-        for f in sorted(groups, key=lambda f: sha(f"{seed}:{f}")):
-            s, _, i = min(groups[f], key=lambda c: (load.get(c[0], 0), c[1]))
+        rows_ = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("family", "speaker", "h", "id")), strict=True))
+        out: list[tuple[str, str, str]] = []
+        for f, members in groupby(rows_, key=lambda r: r[0]):
+            _, s, _, i = min(members, key=lambda r: (load.get(r[1], 0), r[2]))
             load[s] = load.get(s, 0) + 1
             out.append((f, s, i))
-        return pa.table([list(c) for c in zip(*out, strict=True)] or [[], [], []], names=["family", "speaker", "id"])
+            if len(out) == 10_000:
+                yield _choices(out)
+                out = []
+        if out:
+            yield _choices(out)
 
-    return first.groupBy("all").applyInArrow(walk, "family string, speaker string, id string")
+    return first.repartition(1).sortWithinPartitions("place", "family").mapInArrow(walk, "family string, speaker string, id string")
+
+
+def _choices(rows: list[tuple[str, str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["family", "speaker", "id"])
 
 
 def nearest_subset(sizes: dict[str, int], share: float, salt: str) -> set[str]:

@@ -12,7 +12,7 @@ from ..functions import signals as sg
 from ..functions import text as tx
 from ..functions import verdicts as vd
 from ..operators import evaluation as ev
-from ..operators import sampling
+from ..operators import linear, sampling
 from ..operators import sequential as sq
 from ..sources import readers, sinks
 from .fixtures import MESSAGES, SAFE_AT, SCAM_AT, ledger, with_
@@ -212,26 +212,9 @@ def m02(t):
 
 @query("m10_linear_baseline")
 def m10(t):
-    """Hashed word and character n-grams, IDF, balanced logistic regression; the score of every row."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
+    """TF-IDF of words and of characters within words, balanced logistic regression; the score of every row."""
     rows = t.m.where("label <> 'UNCERTAIN'").select("id", "text", (F.col("label") == "SCAM").cast("double").alias("y"))
-    n = rows.groupBy("y").agg(F.count(F.lit(1)).alias("k"))
-    total = n.agg(F.sum("k").alias("total"))
-    weight = n.join(F.broadcast(total)).select("y", (F.col("total") / (2 * F.col("k"))).alias("weight"))
-    rows = rows.join(F.broadcast(weight), "y")
-    steps = [
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+"), NGram(n=2, inputCol="words", outputCol="pairs"),
-        RegexTokenizer(inputCol="text", outputCol="chars", pattern=r"(?s).", gaps=False), NGram(n=4, inputCol="chars", outputCol="grams"),
-    ]
-    for c in ("words", "pairs", "grams"):
-        steps += [HashingTF(inputCol=c, outputCol=f"{c}_tf", numFeatures=1 << 14), IDF(inputCol=f"{c}_tf", outputCol=f"{c}_idf", minDocFreq=2)]
-    steps += [VectorAssembler(inputCols=["words_idf", "pairs_idf", "grams_idf"], outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", regParam=0.2, maxIter=20)]
-    model = Pipeline(stages=steps).fit(rows)
-    return model.transform(rows).select("id", "y", vector_to_array("probability")[1].alias("score"))
+    return linear.baseline(rows, ["id", "y"])
 
 
 @query("x01_scorer_backend")

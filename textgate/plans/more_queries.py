@@ -34,7 +34,7 @@ BANDS = ", ".join(f"({o}, {w})" for o, w in simhash._cuts(7))
 
 @query("f08_simhash")
 def f08(t):
-    tagged, signed = near.signatures(t.m.select("id", "text"))
+    tagged, signed = near.signatures(t.m.select("id", "text"), keep=["id"])
     return tagged.join(signed, "skeleton_hash").select("id", "sig")
 
 
@@ -62,7 +62,7 @@ def j11(t):
 
 @query("j11_near_clusters")
 def j11n(t):
-    return near.clusters(t.m.select("id", "text", "label")).select("id", "skeleton_hash", "root")
+    return near.clusters(t.m.select("id", "text"), keep=["id"]).select("id", "skeleton_hash", "root")
 
 
 @query("a04_near_families")
@@ -78,7 +78,8 @@ def k03n(t):
 
 @query("j10_remove_near")
 def j10r(t):
-    return near.remove_near(t.m.select("id", "text"), t.b).select("id")
+    tagged, signed = near.signatures(t.m.select("id", "text"), keep=["id"])
+    return tagged.join(near.near_keys(signed, t.b), "skeleton_hash", "left_anti").select("id")
 
 
 @query("j12_remove_families")
@@ -89,7 +90,7 @@ def j12(t):
 @query("j13_privacy_overlaps")
 def j13(t):
     """Pairs that are near only after masking."""
-    before, after = (near.hamming_pairs(written(near.signatures(t.m.select("id", x.alias("text")))[1], "sig"), near.signatures(t.b.select("id", x.alias("text")))[1]) for x in (F.col("text"), tx.mask_contacts(F.col("text"))))
+    before, after = (near.hamming_pairs(near.signatures(t.m.select("id", x.alias("text")), keep=[])[1], near.signatures(t.b.select("id", x.alias("text")), keep=[])[1]) for x in (F.col("text"), tx.mask_contacts(F.col("text"))))
     return after.join(before, ["a", "b"], "left_anti")
 
 
@@ -101,9 +102,8 @@ def j14(t):
 @query("j10_message_overlap")
 def j10m(t):
     """Messages that are near a text of the benchmark; j10_near_overlap does so on some planted signatures."""
-    rows = t.m.select("id", "text")
-    tagged, _ = near.signatures(rows)
-    return tagged.join(near.overlapping(rows, t.b), "skeleton_hash", "left_semi").select("id")
+    tagged, signed = near.signatures(t.m.select("id", "text"), keep=["id"])
+    return tagged.join(near.near_keys(signed, t.b), "skeleton_hash", "left_semi").select("id")
 
 
 @query("j14_message_leaks")
@@ -136,8 +136,8 @@ def signalled(t):
     return t.m.withColumn("signals", F.transform(sg.signal_matches(F.col("text")), lambda s: s["signal"]))
 
 
-CATEGORY = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in words.split(', '))} THEN '{name}'" for name, words in sg.CATEGORY_WORDS) + " END"
-DATASET_CATEGORY = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in words.split(', '))} THEN '{name}'" for name, words in sg.DATASET_CATEGORY_WORDS) + " ELSE 'UNKNOWN' END"
+CATEGORY = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in sg.CATEGORY_WORDS) + " END"
+DATASET_CATEGORY = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in sg.DATASET_CATEGORY_WORDS) + " ELSE 'UNKNOWN' END"
 
 
 @query("r02_infer_category", M + f"SELECT id, coalesce({CATEGORY}, 'UNKNOWN') AS category FROM m")

@@ -52,3 +52,35 @@ def write_bytes(spark, path: str, data: bytes) -> None:  # noqa: ANN001
     fs.delete(target, False)
     if not fs.rename(part, target):
         raise OSError(f"could not move {path} into place")
+
+
+def workbook(sheets: dict[str, list[tuple[str, ...]]]) -> bytes:
+    """An XLSX workbook of text cells: a ZIP of XML whose bytes depend on the cells alone."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    space = "http://schemas.openxmlformats.org"
+    head = '<?xml version="1.0" encoding="UTF-8"?>'
+    letter = lambda i: chr(65 + i) if i < 26 else chr(64 + i // 26) + chr(65 + i % 26)
+    members, names, links, kinds = {}, "", "", ""
+    for n, (name, rows) in enumerate(sheets.items(), 1):
+        cells = "".join(
+            f'<row r="{r}">' + "".join(f'<c r="{letter(i)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>' for i, v in enumerate(row)) + "</row>"
+            for r, row in enumerate(rows, 1)
+        )
+        members[f"xl/worksheets/sheet{n}.xml"] = f'{head}<worksheet xmlns="{space}/spreadsheetml/2006/main"><sheetData>{cells}</sheetData></worksheet>'.encode()
+        names += f'<sheet name={quoteattr(name)} sheetId="{n}" r:id="rId{n}"/>'
+        links += f'<Relationship Id="rId{n}" Type="{space}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{n}.xml"/>'
+        kinds += f'<Override PartName="/xl/worksheets/sheet{n}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'
+    members["xl/workbook.xml"] = (
+        f'{head}<workbook xmlns="{space}/spreadsheetml/2006/main" xmlns:r="{space}/officeDocument/2006/relationships"><sheets>{names}</sheets></workbook>'.encode()
+    )
+    members["xl/_rels/workbook.xml.rels"] = f'{head}<Relationships xmlns="{space}/package/2006/relationships">{links}</Relationships>'.encode()
+    members["_rels/.rels"] = (
+        f'{head}<Relationships xmlns="{space}/package/2006/relationships"><Relationship Id="rId1" '
+        f'Type="{space}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>'.encode()
+    )
+    members["[Content_Types].xml"] = (
+        f'{head}<Types xmlns="{space}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+        f'<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>'.encode()
+    )
+    return zipped(members)
