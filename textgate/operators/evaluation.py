@@ -154,7 +154,7 @@ def sweep(rows: DataFrame, p: str = "p_scam", y: str = "y", by: list[str] | None
     else:
         per = running_sums(per, [F.col("threshold").desc()], {"tp": "pos", "fp": "neg"})
     totals = rows.groupBy(*by).agg(count_of(F.col(y) == 1).alias("all_pos"), count_of(F.col(y) == 0).alias("all_neg"))
-    joined = per.join(F.broadcast(totals), by) if by else per.join(F.broadcast(totals))
+    joined = per.join(totals, by) if by else per.join(F.broadcast(totals))
     c = F.col
     return joined.select(
         *by, "threshold", "tp", "fp", (c("all_pos") - c("tp")).alias("fn"), F.when(c("all_pos") > 0, c("tp") / c("all_pos")).otherwise(0.0).alias("recall"),

@@ -72,5 +72,5 @@ def violations(
     found.append(wrong.select(*of(F.lit("manifest count"), F.col("split"), none, detail)))
     if near:
         pairs = near(rows.where(F.col("split").isin(*splits)).select("id", "text", "split"))
-        found.append(pairs.select(*of(F.lit("near leak"), F.col("split_a"), F.col("id_a"), F.col("id_b"))))
+        found.append(pairs.select(*of(F.lit("near leak"), F.col("split_a"), F.col("id_a"), F.col("id_b"))).distinct())
     return reduce(DataFrame.unionByName, found)

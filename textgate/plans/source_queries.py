@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import nested, windows
 from ..functions import text as tx
 from ..functions import verdicts as vd
-from ..operators import dialogues, ledgers, near, validation
+from ..operators import dedup, dialogues, ledgers, near, sequential, validation
 from ..sources import contracts, readers, sinks
 from ..streaming import streams
 from .fixtures import DIALOGUES, MESSAGES, hex8, ledger, normal, with_
@@ -163,6 +163,33 @@ def s09(t):
     return readers.read_xlsx(t.spark, path, ("D", "T"), head)
 
 
+@query("k05_atomic_csv", M + "SELECT id, label, 'a,\"b\"' AS notes FROM m")
+def k05(t):
+    """One CSV file, written twice under its name and read back."""
+    path = scratch(t, "audit") + ".csv"
+    for note in ("old", 'a,"b"'):
+        sinks.write_one_csv(t.m.select("id", "label", F.lit(note).alias("notes")), path)
+    return readers.read_csv(t.spark, path, "id string, label string, notes string")
+
+
+@query("f14_materialized_messages", M + "SELECT id, sha256(regexp_replace(text, '[0-9]+', 'today', 'g')) AS digest, CASE WHEN regexp_matches(text, '[0-9]') THEN 'DATE' ELSE '' END AS replaced FROM m")
+def f14(t):
+    """Messages whose numbers are placeholders, and what stands for them."""
+    text = F.regexp_replace("text", "[0-9]+", "<DATE>")
+    rows = t.m.select("id", text.alias("text"))
+    kinds = F.array_join(F.array_distinct(sequential.placeholders(F.col("text"))), ",")
+    return rows.select("id", F.sha2(sequential.materialized(F.col("text")).cast("binary"), 256).alias("digest"), kinds.alias("replaced"))
+
+
+@query("g04_bound_copy", M + "SELECT count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS digest, true AS bound FROM m")
+def g04(t):
+    """The digest of rows against that of their written copy."""
+    path = scratch(t, "bound")
+    sinks.write_jsonl(t.m.select("id", "label"), path)
+    copy = dedup.set_digest(readers.read_jsonl(t.spark, path, "id string, label string"), "id").select(F.col("digest").alias("other"))
+    return dedup.set_digest(t.m, "id").join(F.broadcast(copy)).select("n", "digest", (F.col("digest") == F.col("other")).alias("bound"))  # one row each
+
+
 # siblings and validation
 
 

@@ -27,6 +27,25 @@ def write_scores(scores: DataFrame, path: str, identity: str) -> None:
     scores.withColumn("identity", F.lit(identity)).write.mode("overwrite").parquet(path)
 
 
+def write_one_csv(rows: DataFrame, path: str) -> None:
+    """One CSV file of that name, for tables that people read: complete under its name or not there.
+
+    A task writes it beside the target, which then takes the file's name at once.
+    """
+    import uuid
+
+    spark = rows.sparkSession
+    jvm = spark.sparkContext._jvm
+    part, target = f"{path}.{uuid.uuid4().hex}", jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows.coalesce(1).write.csv(part, header=True, escape='"', emptyValue="")
+    (found,) = [s.getPath() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(part)) if s.getPath().getName().startswith("part-")]
+    fs.delete(target, False)
+    if not fs.rename(found, target):
+        raise OSError(f"could not move {path} into place")
+    fs.delete(jvm.org.apache.hadoop.fs.Path(part), True)
+
+
 def zipped(members: dict[str, bytes]) -> bytes:
     """A ZIP whose bytes depend on its members alone: sorted names, fixed times and modes."""
     import io
