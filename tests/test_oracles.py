@@ -56,5 +56,5 @@ def test_query_without_statement_has_its_rows(spark, duck, name):
         assert sorted(r.id for r in found) == sorted(str(r[0]) for r in duck.sql("SELECT doc_id FROM documents").fetchall())
     elif name in ROWS["conversations"]:
         assert sorted(r.conv_id for r in found) == sorted(r[0] for r in duck.sql("SELECT DISTINCT conv_id FROM conversations").fetchall())
-    else:
+    elif name != "s07_regional_rows":  # texts without ids, some of which are copies
         assert len({str(r) for r in found}) == len(found)
