@@ -1,19 +1,19 @@
 """Rule engine: signals with evidence spans, categories, actions, label policies, scores.
 
-Spans are code point offsets into the original text, so they are found in Python, batch by batch;
-``signal_flags`` gives the booleans alone without leaving the JVM.
+Spans are code point offsets into the original text, so they are found in Python, batch by batch. A
+rule is searched only in texts that contain one of its literals, all of which one pass looks up.
 """
 
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .prefilter import ODD_LETTERS, PLAIN_LETTERS, Prefilter, plan
+from .prefilter import Prefilter
+from .text import bound
 
 # Rules in their order of evaluation.
 WEB_TLDS = (
@@ -142,52 +142,51 @@ def signal_matches(text: Column) -> Column:
 
 
 def signal_flags(text: Column) -> dict[str, Column]:
-    """One boolean per rule, all in the JVM: for counts and filters that need no spans.
+    """One boolean per rule, from one call: for counts and filters that need no spans."""
 
-    A rule is searched only in texts that contain one of its literals; the plain and the folded text
-    are made once for all rules.
-    """
-    stripped = F.regexp_replace(F.regexp_replace(text, "​|(?U)(?<=\\s)[.:;|](?=\\s)", ""), r"(?U)\s+", " ")
-    both = F.transform(F.array(stripped), lambda t: F.struct(t.alias("t"), F.lower(F.translate(t, ODD_LETTERS, PLAIN_LETTERS)).alias("low")))
-
-    def flag(x: Column, pattern: str) -> Column:
-        told, rest = plan(pattern)
-        may = [F.exists(F.array(*map(F.lit, told)), lambda w: F.contains(x["low"], w))] if told else []
-        may += [x["t"].rlike(f"(?iU){way}") for way in rest]
-        return reduce(Column.__or__, may) & x["t"].rlike(f"(?iU){pattern}")
+    @F.pandas_udf("array<string>")
+    def find(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: [m["signal"] for m in matches(v)])
 
-    flags = F.get(F.transform(both, lambda x: F.struct(*[flag(x, pattern).alias(name) for name, pattern in RULES.items()])), F.lit(0))
-    return {name: flags[name] for name in RULES}
+    found = find(text)
+    return {name: F.array_contains(found, name) for name in RULES}
 
 
 def _any_word(text: Column, words: tuple[str, ...]) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
 
 
+def _first_of(text: Column, categories: tuple, none: Column) -> Column:
+    """The first category of which the text has a word."""
+    out = none
+    for name, words in reversed(categories):
+        out = F.when(_any_word(text, words), name).otherwise(out)
+    return out
+
+
 #: Characters whose case folding has ASCII letters that lower case does not give.
 FOLDS = (("ſ", "s"), ("ß", "ss"), ("ẞ", "ss"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
 
 
 def folded_letters(text: Column) -> Column:
     """Lower case, with all ASCII letters that case folding gives."""
-    lowered, out = F.lower(text), F.lower(text)
-    for c, letters in FOLDS:
-        out = F.replace(out, F.lit(c), F.lit(letters))
-    return F.when(lowered.rlike("[" + "".join(c for c, _ in FOLDS) + "]"), out).otherwise(lowered)
+
+    def spelt(t: Column) -> Column:
+        out = t
+        for c, letters in FOLDS:
+            out = F.replace(out, F.lit(c), F.lit(letters))
+        return F.when(t.rlike("[" + "".join(c for c, _ in FOLDS) + "]"), out).otherwise(t)
+
+    return bound(F.lower(text), spelt)
 
 
 def infer_category(text: Column, signals: Column) -> Column:
-    lowered, out = folded_letters(text), F.when(F.size(signals) > 0, "OTHER_SCAM").otherwise("UNKNOWN")
-    for name, words in reversed(CATEGORY_WORDS):
-        out = F.when(_any_word(lowered, words), name).otherwise(out)
-    return out
+    none = F.when(F.size(signals) > 0, "OTHER_SCAM").otherwise("UNKNOWN")
+    return bound(folded_letters(text), lambda t: _first_of(t, CATEGORY_WORDS, none))
 
 
 def dataset_category(text: Column) -> Column:
-    lowered, out = F.lower(text), F.lit("UNKNOWN")
-    for name, words in reversed(DATASET_CATEGORY_WORDS):
-        out = F.when(_any_word(lowered, words), name).otherwise(out)
-    return out
+    return bound(F.lower(text), lambda t: _first_of(t, DATASET_CATEGORY_WORDS, F.lit("UNKNOWN")))
 
 
 def any_of(signals: Column, names: tuple[str, ...] | list[str]) -> Column:

@@ -30,8 +30,10 @@ FROM s GROUP BY 1, 2"""
 
 @query("entry_split_counts", ENTRY)
 def entry_split_counts(t):
-    rows = dedup.deduplicate(keyed(t.m.select("text", "label", "ordinal")), "key", "ordinal")
-    split = tx.split_for_family(F.concat(F.lit("family-"), tx.short_hash(F.col("key"))))
+    # what is grouped and shuffled is the keys' digests, not the texts
+    digests = t.m.select(F.sha2(tx.normalized(F.col("text")).cast("binary"), 256).alias("key"), "label", "ordinal")
+    rows = dedup.deduplicate(digests, "key", "ordinal")
+    split = tx.split_for_family(F.concat(F.lit("family-"), F.substring("key", 1, 16)))
     return rows.groupBy(split.alias("split"), "label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -195,7 +197,7 @@ def w18(t):
 
 @query("a01_deduplicate", with_(MESSAGES, NM) + "SELECT key, min_by(id, ordinal) AS id, min(label) AS label FROM n GROUP BY key HAVING count(DISTINCT label) = 1")
 def a01(t):
-    return dedup.deduplicate(keyed(t.m.select("id", "text", "label", "ordinal")), "key", "ordinal").select("key", "id", "label")
+    return dedup.deduplicate(keyed(t.m.select("id", "text", "label", "ordinal")).drop("text"), "key", "ordinal").select("key", "id", "label")
 
 
 @query("a01_dropped", with_(MESSAGES, NM, "g AS (SELECT count(*) AS n, count(DISTINCT label) AS k FROM n GROUP BY key)") + """SELECT count(*) FILTER (k > 1) AS conflicts,
