@@ -27,7 +27,7 @@ BIN_BITS = 8
 BINS = 1 << BIN_BITS
 LOW_BITS = 8
 WORDS = 5
-PROBES = 10
+PROBES = 12
 #: A range of ids that is sorted by itself has about so many rows at most.
 RANGE_ROWS = 200_000
 _SHIFT = 64 - BIN_BITS
@@ -49,14 +49,14 @@ def _longs(values: list[int]) -> Column:
 
 def with_fingerprint(df: DataFrame, text: Column, out: str) -> DataFrame:
     """``df`` with the packed fingerprint of ``text``, eight bins a long, in column ``out``."""
-    a, b, c, d = (f"__{out}_{x}" for x in ("words", "hashes", "first", "bins"))
+    a, b, c, d, e = (f"__{out}_{x}" for x in ("words", "hashes", "first", "bins", "full"))
     df = df.withColumn(a, F.split(F.trim(F.regexp_replace(text, "[ \\t-\\r]+", " ")), " ", -1))
     w, n = F.col(a), F.size(a)
     shingles = F.transform(
         F.sequence(F.lit(0), F.greatest(n - WORDS, F.lit(0))),
         lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WORDS)]),
     )
-    sentinels = _longs([((v - BINS // 2) << _SHIFT) | _REST for v in range(BINS)])
+    sentinels = F.array(*[F.lit(((v - BINS // 2) << _SHIFT) | _REST) for v in range(BINS)])
     df = df.withColumn(b, F.sort_array(F.concat(shingles, sentinels)))
     h = F.col(b)
     bin_of = lambda x: F.shiftright(x, _SHIFT)
@@ -64,13 +64,14 @@ def with_fingerprint(df: DataFrame, text: Column, out: str) -> DataFrame:
     df = df.withColumn(c, F.transform(firsts, lambda x: F.when(x.bitwiseAND(F.lit(_REST)) != F.lit(_REST), x.bitwiseAND(F.lit((1 << LOW_BITS) - 1)))))
     v = F.col(c)
     probes = [F.array(*[F.lit(_probe(i, t)) for i in range(BINS)]) for t in range(PROBES)]
-    steps = F.array(*[F.lit((_probe(i, 1) - _probe(i, 0)) % BINS) for i in range(BINS)])
+    back = F.array(*[F.lit(pow(_probe(i, 1) - _probe(i, 0), -1, BINS)) for i in range(BINS)])
+    # after some probes: the turn at which a bin is probed is known, so the full bins are asked for the first of theirs
+    df = df.withColumn(e, F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.get(v, i).isNotNull()))
+    full = F.col(e)
 
     def filled(x: Column, i: Column) -> Column:
-        rest = F.transform(
-            F.sequence(F.lit(PROBES), F.lit(BINS - 1)), lambda t: F.get(v, (F.get(probes[0], i) + t * F.get(steps, i)) % BINS)
-        )
-        return F.coalesce(x, *[F.get(v, F.get(p, i)) for p in probes], F.get(F.filter(rest, lambda y: y.isNotNull()), F.lit(0)))
+        turns = F.transform(full, lambda j: F.pmod((j - F.get(probes[0], i)) * F.get(back, i), F.lit(BINS)) * BINS + j)
+        return F.coalesce(x, *[F.get(v, F.get(p, i)) for p in probes], F.get(v, F.array_min(turns) % BINS))
 
     df = df.withColumn(d, F.transform(v, filled))
     bins = F.col(d)
@@ -80,7 +81,7 @@ def with_fingerprint(df: DataFrame, text: Column, out: str) -> DataFrame:
         return reduce(lambda x, y: x.bitwiseOR(y), parts)
 
     df = df.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(BINS // 8 - 1)), long_of))
-    return df.drop(a, b, c, d)
+    return df.drop(a, b, c, d, e)
 
 
 def as_hex(packed: Column) -> Column:
