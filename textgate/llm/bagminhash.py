@@ -46,6 +46,8 @@ LEAST = 0.8
 #: that they lose fewer than 1 in a million pairs of similarity 0.8.
 LEAST_SLOTS = 0.65
 BUCKET = 48
+#: So many classes of a bucket are compared with all others of it in one task.
+PART = 4096
 STARS = 2
 #: So many links (of two 32-character names) at most are united in one task.
 LINKS_IN_ONE_TASK = 500_000
@@ -290,13 +292,16 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, least
         if not apart.limit(1).count():
             break
     # what is still apart: all pairs that can be links, each in the first of its common buckets
-    small = rest.where(F.col("n") <= BUCKET).select("class", "key", "root", *[F.lit(0.0).alias(c) for c in ("mass", "size")])
+    small = rest.where(F.col("n") <= BUCKET).select("class", "key", "n", "root", *[F.lit(0.0).alias(c) for c in ("mass", "size")])
     mass = _shared_mass(texts.join(apart.select("class").distinct(), "class"), least)
-    large = apart.select("class", "key", "root").join(mass, "class")
+    large = apart.select("class", "key", "n", "root").join(mass, "class")
+    # a large bucket's pairs are dealt to several tasks: one side by parts, the other to each part
+    parts = F.ceil(F.col("n") / F.lit(PART)).cast("int")
     cells = small.unionByName(large).join(classes.select("class", "bands", "slots"), "class")
-    other = cells.select("key", *[F.col(c).alias(f"{c}_b") for c in ("class", "root", "mass", "size", "bands", "slots")])
+    other = cells.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"{c}_b") for c in ("class", "root", "mass", "size", "bands", "slots")])
+    cells = cells.withColumn("part", F.pmod(F.xxhash64("class"), parts).cast("int"))
     both = F.least("mass", "mass_b")
-    pairs = cells.join(other, "key").where(
+    pairs = cells.join(other, ["key", "part"]).where(
         (F.col("class") < F.col("class_b")) & (F.col("root") != F.col("root_b")) & (both >= least * (F.col("size") + F.col("size_b") - both))
         & (_equal_slots("slots", "slots_b") >= LEAST_SLOTS) & (F.get(F.array_intersect("bands", "bands_b"), F.lit(0)) == F.col("key"))
     )
