@@ -72,7 +72,27 @@ def test_bins_and_densification_against_plain_python(spark):
 
 
 def test_many_ranges(spark, monkeypatch):
-    df = spark.range(700).select((F.col("id") * 7 % 700).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    df = spark.range(700).select((F.col("id") * 7 % 700 * 1_000_003 + (1 << 61)).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
     want = sorted(map(tuple, fingerprints.compare_with_edits(df).collect()))
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 2)
     assert sorted(map(tuple, fingerprints.compare_with_edits(df).collect())) == want
+
+
+def test_frequent_ids(spark, monkeypatch):
+    """Ids that fill ranges by themselves, with copies, common starts and an id before and after them."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 10)
+    rows = [(None, f"{prose(i % 40, 12)} {i % 60}") for i in range(300)] + [(None, "same start " + "x" * i) for i in range(30)] + [(None, "copy")] * 90
+    rows += [(7, prose(i, 9)) for i in range(120)] + [(7, None), (7, ""), (7, "é"), (7, "\U0001f600")] + [(i, prose(i, 9)) for i in (-5, 1, 8, 9, 10)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    want = []
+    for i, (doc, text) in enumerate(order):
+        text, following = text or "", order[(i + 1) % len(order)][1] or ""
+        half = len(text) // 2
+        want.append((doc, hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()))
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = fingerprints.compare_with_edits(df).collect()
+        assert sorted(((r.doc_id, r.edited_sha256) for r in got), key=str) == sorted(want, key=str)
+        for r in got:
+            if r.doc_id is None and r.n_chars == 4 and r.edited_sha256 == hashlib.sha256(b"coco").hexdigest():
+                assert r.near_next == 1.0

@@ -16,12 +16,13 @@ are alike; equal texts have equal fingerprints; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tasks, text_or_empty
+from .common import tasks, text_or_empty, written
 
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
@@ -115,33 +116,47 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Each document's fingerprint against those of its edited text and of the next document.
 
     The next document in order of id is found without one global sort: ids are cut into ranges by
-    approximate percentiles, which are ids of the table. Each range is sorted by itself, and the
+    approximate percentiles. Each range is sorted by itself, and the
     rows of a range's first id are copied to the range before it as its last neighbours (those of
     the first id to the last range). Null ids come first; equal ids are ordered by text.
+
+    An id that fills a range or more (null, say) is cut further by the starts of its texts, and its
+    equal texts are one row with a number until their neighbours are known.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     n = max(4 * tasks(spark), -(-docs.count() // RANGE_ROWS))
     found = rows.select(key.alias("k")).agg(F.min("k"), F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n)).first()
-    bounds = sorted({found[0], *(found[1] or [])}) if found and found[0] is not None else [0]
-    rows = with_fingerprint(rows.withColumn("k", key), F.col("text"), "fingerprint")
-    rows = _with_range(rows, F.col("k"), bounds)
+    points = found[1] or []
+    bounds = sorted({(k, 0) for k in (found[0], *points)}) if found[0] is not None else [(0, 0)]
+    often = {k: c for k, c in Counter(points).items() if c > 1} if len(bounds) < n else {}
+    rows = rows.withColumn("k", key).withColumn("p", F.lit(0).cast("long")).withColumn("times", F.lit(1).cast("long"))
+    if often:
+        rows, bounds = _cut_further(rows, bounds, often, n)
+    # percentiles are rounded where numbers are large: a range starts with its first row
+    firsts = _with_range(rows.select("k", "p"), bounds).groupBy("range").agg(F.min(F.struct("k", "p")).alias("first")).collect()  # a row a range
+    bounds = sorted((r.first.k, r.first.p) for r in firsts) or [(0, 0)]
+    rows = with_fingerprint(rows, F.col("text"), "fingerprint")
+    rows = _with_range(rows, bounds)
     last = len(bounds) - 1
-    opens = F.col("k") == F.get(_longs(bounds), F.col("range"))
+    opens = (F.col("k") == F.get(_longs([k for k, _ in bounds]), F.col("range"))) & (F.col("p") == F.get(_longs([p for _, p in bounds]), F.col("range")))
     home = F.struct(F.col("range").alias("range"), F.lit(False).alias("copy"))
     before = F.struct(
         F.when(F.col("range") == 0, F.lit(last)).otherwise(F.col("range") - 1).alias("range"), F.lit(True).alias("copy")
     )
     placed = rows.select(
-        "doc_id", "text", "k", "fingerprint", F.explode(F.when(opens, F.array(home, before)).otherwise(F.array(home))).alias("place")
-    ).select("doc_id", "text", "k", "fingerprint", "place.range", "place.copy")
+        "doc_id", "text", "k", "fingerprint", "times", F.explode(F.when(opens, F.array(home, before)).otherwise(F.array(home))).alias("place")
+    ).select("doc_id", "text", "k", "fingerprint", "times", "place.range", "place.copy")
     order = Window.partitionBy("range").orderBy("copy", "k", "text")
-    chars = F.length("text")
-    half = F.floor(chars / 2).cast("int")
     near = placed.select(
-        "doc_id", "text", "fingerprint", "copy", F.lead("text").over(order).alias("next"), F.lead("fingerprint").over(order).alias("next_fingerprint")
+        "doc_id", "text", "fingerprint", "copy", "times", F.lead("text").over(order).alias("next"), F.lead("fingerprint").over(order).alias("next_fingerprint")
     ).where(~F.col("copy"))
+    if often:  # of equal texts, all but the last are followed by their own
+        near = near.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+        near = near.withColumns({c: F.when(F.col("nth") < F.col("times"), F.col(own)).otherwise(F.col(c)) for c, own in (("next", "text"), ("next_fingerprint", "fingerprint"))})
+    chars = F.length("text")
+    half = F.floor(chars / 2).cast("int")
     near = near.select(
         "doc_id", chars.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint",
         F.concat(F.substring(F.col("text"), F.lit(1), chars - half), F.substring(F.col("next"), F.lit(1), half)).alias("edited"),
@@ -158,10 +173,37 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _with_range(df: DataFrame, k: Column, bounds: list[int]) -> DataFrame:
-    """Column range: how many of the ascending bounds are at most k, less 1, in two small steps."""
+def _cut_further(rows: DataFrame, bounds: list[tuple[int, int]], often: dict[int, int], n: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Rows and bounds, where rows of frequent ids have the first seven bytes of their text as a number ``p``.
+
+    ``often`` says of how many percentiles an id is; it gets as many ranges.
+    """
+    bytes_ = F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0")
+    is_often = F.col("k").isin(list(often))
+    hot = rows.where(is_often).groupBy("doc_id", "text", "k").agg(F.sum("times").alias("times"))
+    hot = written(hot.withColumn("p", F.conv(bytes_, 16, 10).cast("long")), "frequent")
+    m = min(max(often.values()) + 1, max(64, 4 * n // len(often)))
+    cuts = hot.groupBy("k").agg(F.min("p").alias("least"), F.percentile_approx("p", [i / m for i in range(1, m)], 20 * m).alias("p")).collect()  # a row an id
+    more = {(k, 0) for k, _ in bounds if k not in often}
+    for r in cuts:
+        step = -(-len(r.p) // often[r.k])
+        more |= {(r.k, p) for p in (r.least, *r.p[::step])}
+    return rows.where(~is_often).unionByName(hot), sorted(more)
+
+
+def _with_range(df: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """Column range: how many of the ascending bounds are at most the row's (k, p), less 1, in two small steps."""
     step = math.isqrt(len(bounds)) + 1
-    at_most = lambda values: F.size(F.filter(values, lambda b: b <= k))
-    df = df.withColumn("__coarse", F.greatest(at_most(_longs(bounds[::step])) - 1, F.lit(0)) * step)
-    fine = F.slice(_longs(bounds), F.col("__coarse") + 1, F.lit(step))
+    own = F.struct(F.col("k").alias("k"), F.col("p").alias("p"))
+
+    def listed(some: list[tuple[int, int]]) -> Column:
+        return F.arrays_zip(_longs([k for k, _ in some]).alias("k"), _longs([p for _, p in some]).alias("p"))
+
+    if any(p for _, p in bounds):
+        at_most = lambda values: F.size(F.filter(values, lambda b: (b["k"] < own["k"]) | ((b["k"] == own["k"]) & (b["p"] <= own["p"]))))
+    else:
+        listed = lambda some: _longs([k for k, _ in some])
+        at_most = lambda values: F.size(F.filter(values, lambda b: b <= F.col("k")))
+    df = df.withColumn("__coarse", F.greatest(at_most(listed(bounds[::step])) - 1, F.lit(0)) * step)
+    fine = F.slice(listed(bounds), F.col("__coarse") + 1, F.lit(step))
     return df.withColumn("range", F.greatest(F.col("__coarse") + at_most(fine) - 1, F.lit(0))).drop("__coarse")
