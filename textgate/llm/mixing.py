@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import text_or_empty, written
+from .common import discarded, text_or_empty, written
 
 REPEAT_LIMIT = 1.5
 BLOCK_TOKENS = 1 << 20
@@ -136,14 +136,17 @@ def _plan(
     within = Window.partitionBy("source").orderBy("u")  # the rows of one block
     cut = inside.withColumn("upto", F.sum("n").over(within)).where(F.col("upto") <= F.col("left"))
     cut = cut.groupBy("source").agg(F.max("u").alias("end_chance"))
-    plan = _joined(_joined(plan, ends, "left"), cut, "left")
-    return written(
+    first = plan
+    plan = _joined(_joined(first, ends, "left"), cut, "left")
+    plan = written(
         plan.select(
             "source", "weight", "whole", "passes", "blocks", F.coalesce("end_block", F.lit(0).cast("long")).alias("end_block"),
             F.coalesce("end_chance", F.lit(-1.0)).alias("end_chance"),
         ),
         "plan",
     )
+    discarded(stats, first, sums, ends)
+    return plan
 
 
 def _ended(sums: DataFrame, by: str) -> DataFrame:
@@ -177,6 +180,7 @@ def mix(
     source = F.col(source_col).cast(T.StringType())
     numbers = written(docs.select(source.alias("source"), key.alias("key"), tokens(text).alias("n")), "rows")
     plan = _plan(numbers, repeat_limit, target_entropy, budget, block_tokens, seed)
+    discarded(numbers)
     rows = docs.select(whole_row.alias("row"), source.alias("source"), key.alias("key"), tokens(text).alias("n_tokens"))
     rows = _joined(rows, plan)
     u = chance(F.col("key"), F.col("whole"), seed)

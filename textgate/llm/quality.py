@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, written
+from .common import discarded, fold, written
 
 #: At most about this many labelled rows are sampled, by a hash of the id.
 SAMPLE_ROWS = 15_000
@@ -276,7 +276,9 @@ def fit(
     x = np.stack(got["x"].to_numpy()).astype(np.float64) if len(got) else np.zeros((0, len(NAMES)))
     anything = len(got) or labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).limit(1).count()
     y = got["y"].to_numpy() if len(got) else np.zeros(1 if anything else 0, int)
-    return train(x if len(got) else np.zeros((len(y), len(NAMES))), y, _totals(known), calibrate)
+    model = train(x if len(got) else np.zeros((len(y), len(NAMES))), y, _totals(known), calibrate)
+    discarded(marks, known)
+    return model
 
 
 def _totals(known: DataFrame) -> Totals:
