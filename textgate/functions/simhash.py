@@ -91,13 +91,17 @@ def block_keys(sig: Column, radius: int = 6, blocks: int = 8) -> Column:
     ])
 
 
+#: A key is made, shuffled and sorted in about the time of so many comparisons.
+KEY_COST = 60
+
+
 def best_blocks(distinct: int, informative: int = 64, radius: int = 6) -> int:
     """How many blocks make the fewest comparisons among so many signatures: more blocks are more keys
     of more bits each. ``informative`` bits tell signatures apart."""
 
     def cost(blocks: int) -> float:
         keys, bits = math.comb(blocks, radius), informative * (blocks - radius) / blocks
-        return keys * (4 + distinct / 2**bits)
+        return keys * (KEY_COST + distinct / 2**bits)
 
     return min(range(radius + 1, radius + 6), key=cost)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,23 +38,25 @@ def hamming_pairs(left: DataFrame, right: DataFrame | None = None, key: str = "s
     number of blocks (unless given), and each block gets its share of the bits that tell them apart.
     """
     first = left.groupBy("sig").agg(F.min(key).alias(key))
-    counted = (first if right is None else left.select("sig").unionByName(right.select("sig"))).agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(F.getbit("sig", F.lit(i))).alias(f"b{i}") for i in range(64)]
-    ).first()
+    sigs = [first.select("sig")] if right is None else [d.select("sig").distinct() for d in (left, right)]
+    counted = reduce(DataFrame.unionByName, sigs).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.getbit("sig", F.lit(i))).alias(f"b{i}") for i in range(64)]).first()
     shares = [counted[f"b{i}"] or 0.0 for i in range(64)]
     blocks = blocks or best_blocks(counted.n, sum(4 * p * (1 - p) for p in shares), radius)
-    dealt = block_keys(F.col("dealt"), radius, blocks)
 
-    def side(d: DataFrame, n: str) -> DataFrame:
-        rows = d.select(F.col(key).alias(n), F.col("sig").alias(f"sig_{n}"), spread_bits(F.col("sig"), shares, blocks).alias("dealt"))
-        return rows.select(n, f"sig_{n}", F.explode(dealt).alias("block"))
+    def side(rows: DataFrame, n: str) -> DataFrame:
+        """Only the signature goes along with its keys; whose it is, is looked up for the pairs."""
+        rows = rows.select(F.col("sig").alias(n), spread_bits(F.col("sig"), shares, blocks).alias("dealt"))
+        return rows.select(n, F.explode(block_keys(F.col("dealt"), radius, blocks)).alias("block"))
 
-    near = hamming(F.col("sig_a"), F.col("sig_b")) <= radius
+    near = hamming(F.col("x"), F.col("y")) <= radius
+    near = near & (F.col("x") < F.col("y")) if right is None else near
+    found = side(sigs[0], "x").join(side(sigs[-1], "y"), "block").where(near).select("x", "y").distinct()
+    named = lambda d, sig, n: d.select(F.col("sig").alias(sig), F.col(key).alias(n))
     if right is not None:
-        return side(left, "a").join(side(right, "b"), "block").where(near).select("a", "b").distinct()
-    both = side(first, "a").join(side(first, "b"), "block").where(near & (F.col("a") < F.col("b")))
+        return found.join(named(left, "x", "a"), "x").join(named(right, "y", "b"), "y").select("a", "b").distinct()
+    pairs = found.join(named(first, "x", "a"), "x").join(named(first, "y", "b"), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     same = left.join(first.withColumnRenamed(key, "first"), "sig").where(F.col(key) != F.col("first")).select(F.col("first").alias("a"), F.col(key).alias("b"))
-    return both.select("a", "b").distinct().unionByName(same)
+    return pairs.unionByName(same)
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,11 +129,17 @@ def one_per_near_family(rows: DataFrame, label: str = "label", split: str = "spl
     """The representative of each near family of one label (``columns`` of it, or all), with family_id and
     the family's size n: the least row by split (test, validation or dev, train, others) and id. A missing
     label is a label of its own."""
-    found = clusters(rows, radius=radius, keep=list(dict.fromkeys((*(columns or rows.columns), label, split, id_col))))
+    columns = columns or rows.columns
+    found = clusters(rows, radius=radius, keep=list(dict.fromkeys((*columns, label, split, id_col))))
+    return representatives(found, label, split, id_col, columns)
+
+
+def representatives(found: DataFrame, label: str, split: str, id_col: str, columns: list[str]) -> DataFrame:
+    """``one_per_near_family`` of rows that have their cluster."""
     order = F.when(F.col(split) == "test", 0).when(F.col(split).isin("validation", "dev"), 1).when(F.col(split) == "train", 2).otherwise(3)
     per = found.groupBy("root").agg(
         F.min(F.struct(label)).alias("lo"), F.max(F.struct(label)).alias("hi"), F.count(F.lit(1)).alias("n"),
-        F.min_by(F.struct(*(columns or rows.columns)), F.struct(order, F.col(id_col), F.col("skeleton_hash"))).alias("kept"),
+        F.min_by(F.struct(*columns), F.struct(order, F.col(id_col), F.col("skeleton_hash"))).alias("kept"),
     )
     return per.where("lo = hi").select("kept.*", F.concat(F.lit("near-"), F.col("root")).alias("family_id"), "n")
 

@@ -78,6 +78,13 @@ class Tables:
             F.col("lang").alias("source_language"), label.alias("label"),
         )
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """The messages without their labels, for which no text is shuffled."""
+        return self.documents.select(
+            F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("ordinal"), "text", "source", F.col("lang").alias("source_language")
+        )
+
     @cached_property
     def b(self) -> DataFrame:
         return self.benchmark.select(F.col("item_id").cast("string").alias("id"), "text")

@@ -34,7 +34,7 @@ BANDS = ", ".join(f"({o}, {w})" for o, w in simhash._cuts(7))
 
 @query("f08_simhash")
 def f08(t):
-    tagged, signed = near.signatures(t.m.select("id", "text"), keep=["id"])
+    tagged, signed = near.signatures(t.texts.select("id", "text"), keep=["id"])
     return tagged.join(signed, "skeleton_hash").select("id", "sig")
 
 
@@ -62,13 +62,14 @@ def j11(t):
 
 @query("j11_near_clusters")
 def j11n(t):
-    return near.clusters(t.m.select("id", "text"), keep=["id"]).select("id", "skeleton_hash", "root")
+    return near.clusters(t.texts.select("id", "text"), keep=["id"]).select("id", "skeleton_hash", "root")
 
 
 @query("a04_near_families")
 def a04(t):
-    rows = t.m.select("id", "text", "label", tx.split_for_family(F.col("id")).alias("split"))
-    return near.one_per_near_family(rows, columns=["id", "split"]).select("id", "family_id", "split", "n")
+    # texts are signed before labels are joined to what is left of them
+    found = near.clusters(t.texts.select("id", "text"), keep=["id"]).withColumn("split", tx.split_for_family(F.col("id")))
+    return near.representatives(found.join(t.m.select("id", "label"), "id"), "label", "split", "id", ["id", "split"]).select("id", "family_id", "split", "n")
 
 
 @query("k03_near_quarantine")
@@ -78,19 +79,19 @@ def k03n(t):
 
 @query("j10_remove_near")
 def j10r(t):
-    tagged, signed = near.signatures(t.m.select("id", "text"), keep=["id"])
+    tagged, signed = near.signatures(t.texts.select("id", "text"), keep=["id"])
     return tagged.join(near.near_keys(signed, t.b), "skeleton_hash", "left_anti").select("id")
 
 
 @query("j12_remove_families")
 def j12(t):
-    return near.remove_families(t.m.select("id", "text", "source"), t.b, F.col("source")).select("id", "source")
+    return near.remove_families(t.texts.select("id", "text", "source"), t.b, F.col("source")).select("id", "source")
 
 
 @query("j13_privacy_overlaps")
 def j13(t):
     """Pairs that are near only after masking."""
-    before, after = (near.hamming_pairs(near.signatures(t.m.select("id", x.alias("text")), keep=[])[1], near.signatures(t.b.select("id", x.alias("text")), keep=[])[1]) for x in (F.col("text"), tx.mask_contacts(F.col("text"))))
+    before, after = (near.hamming_pairs(near.signatures(t.texts.select("id", x.alias("text")), keep=[])[1], near.signatures(t.b.select("id", x.alias("text")), keep=[])[1]) for x in (F.col("text"), tx.mask_contacts(F.col("text"))))
     return after.join(before, ["a", "b"], "left_anti")
 
 
@@ -102,19 +103,19 @@ def j14(t):
 @query("j10_message_overlap")
 def j10m(t):
     """Messages that are near a text of the benchmark; j10_near_overlap does so on some planted signatures."""
-    tagged, signed = near.signatures(t.m.select("id", "text"), keep=["id"])
+    tagged, signed = near.signatures(t.texts.select("id", "text"), keep=["id"])
     return tagged.join(near.near_keys(signed, t.b), "skeleton_hash", "left_semi").select("id")
 
 
 @query("j14_message_leaks")
 def j14m(t):
     """Near pairs of messages across splits; j14_split_leaks has them for planted signatures."""
-    return near.split_leaks(t.m.select("id", "text", tx.split_for_family(F.col("id")).alias("split")))
+    return near.split_leaks(t.texts.select("id", "text", tx.split_for_family(F.col("id")).alias("split")))
 
 
 @query("a05_components", with_(MESSAGES, NM, "e AS (SELECT x.ordinal AS a, y.ordinal AS b FROM n x JOIN n y ON x.key = y.key AND x.ordinal <> y.ordinal)").replace("WITH", "WITH RECURSIVE", 1) + ", r AS (SELECT ordinal AS node, ordinal AS root FROM m UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node")
 def a05(t):
-    rows = keyed(t.m).select("ordinal", "key")
+    rows = keyed(t.texts).select("ordinal", "key")
     first = rows.groupBy("key").agg(F.min("ordinal").alias("a"))
     return near.components(rows, rows.join(first, "key").select("a", F.col("ordinal").alias("b")), "ordinal")
 
@@ -124,12 +125,12 @@ def a05(t):
 
 @query("r01_signal_matches")
 def r01(t):
-    return t.m.select("id", F.explode(sg.signal_matches(F.col("text"))).alias("s")).select("id", "s.*")
+    return t.texts.select("id", F.explode(sg.signal_matches(F.col("text"))).alias("s")).select("id", "s.*")
 
 
 @query("r01_signal_flags")
 def r01f(t):
-    return t.m.select("id", *[c.alias(n) for n, c in sg.signal_flags(F.col("text")).items()])
+    return t.texts.select("id", *[c.alias(n) for n, c in sg.signal_flags(F.col("text")).items()])
 
 
 def signalled(t):
@@ -142,12 +143,12 @@ DATASET_CATEGORY = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(text)
 
 @query("r02_infer_category", M + f"SELECT id, coalesce({CATEGORY}, 'UNKNOWN') AS category FROM m")
 def r02(t):
-    return t.m.select("id", sg.infer_category(F.col("text"), F.array().cast("array<string>")).alias("category"))
+    return t.texts.select("id", sg.infer_category(F.col("text"), F.array().cast("array<string>")).alias("category"))
 
 
 @query("r03_dataset_category", M + f"SELECT id, {DATASET_CATEGORY} AS category FROM m")
 def r03(t):
-    return t.m.select("id", sg.dataset_category(F.col("text")).alias("category"))
+    return t.texts.select("id", sg.dataset_category(F.col("text")).alias("category"))
 
 
 @query("r04_choose_action", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'DO_NOT_SHARE_CODE' WHEN event_id % 5 = 0 THEN 'DO_NOT_INSTALL_SOFTWARE' WHEN event_id % 7 = 0 THEN 'DO_NOT_PAY' ELSE 'NO_ACTION' END AS action FROM events")
@@ -177,7 +178,7 @@ def m08(t):
 def m09(t):
     """Every message scored, judged and explained; texts of no or over 100,000 characters are errors."""
     text = F.trim("text")
-    rows = t.m.select("id", text.alias("text")).withColumn("bad", F.when(F.length("text") == 0, "empty").when(F.length("text") > 100_000, "too long"))
+    rows = t.texts.select("id", text.alias("text")).withColumn("bad", F.when(F.length("text") == 0, "empty").when(F.length("text") > 100_000, "too long"))
     rows = rows.withColumn("found", sg.signal_matches(F.col("text"))).withColumn("signals", F.transform("found", lambda s: s["signal"]))
     rows = rows.withColumn("s", sg.heuristic_scores(F.col("signals"))).withColumn("verdict", vd.verdict(F.col("s.p_safe"), F.col("s.p_scam"), 0.80, 0.80, 0.20))
     safe = F.col("verdict") == "SAFE"
@@ -209,7 +210,7 @@ def j07(t):
 
 @query("f05_contextual_masks")
 def f05(t):
-    return t.m.select("id", privacy.mask_contextual(F.col("text")).alias("p")).select("id", F.sha2(F.col("p.text").cast("binary"), 256).alias("masked"), F.map_entries("p.counts").alias("counts"))
+    return t.texts.select("id", privacy.mask_contextual(F.col("text")).alias("p")).select("id", F.sha2(F.col("p.text").cast("binary"), 256).alias("masked"), F.map_entries("p.counts").alias("counts"))
 
 
 # dialogues
@@ -361,7 +362,7 @@ def w16(t):
 @query("g01_violations", with_(MESSAGES, FAM, f"s AS (SELECT *, {hex8('id')} % 3 AS split FROM f)") + r"""SELECT 'short text' AS rule, id FROM s WHERE length(trim(text)) < 4 UNION ALL SELECT 'long digits', id FROM s WHERE regexp_matches(text, '\d{10,}')
   UNION ALL SELECT 'family leak', min(id) FROM s GROUP BY family_id HAVING count(DISTINCT split) > 1""")
 def g01(t):
-    rows = family(t.m).withColumn("split", tx.hash_number(F.col("id")) % 3)
+    rows = family(t.texts).withColumn("split", tx.hash_number(F.col("id")) % 3)
     checks = F.array_compact(F.array(F.when(F.length(F.trim("text")) < 4, "short text"), F.when(F.col("text").rlike(r"\d{10,}"), "long digits")))
     leaks = rows.groupBy("family_id").agg(F.min("id").alias("id"), F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b")
     return rows.select(F.explode(checks).alias("rule"), "id").unionByName(leaks.select(F.lit("family leak").alias("rule"), "id"))
@@ -369,30 +370,30 @@ def g01(t):
 
 @query("g02_holdout", with_(MESSAGES, NM, BENCHMARK) + f"SELECT count(*) AS n, count(DISTINCT key) AS families, count(*) FILTER (key IN (SELECT {normal('text')} FROM b)) AS overlaps FROM n")
 def g02(t):
-    rows = keyed(t.m).join(keyed(t.b).select("key", F.lit(1).alias("hit")).distinct(), "key", "left")
+    rows = keyed(t.texts).join(keyed(t.b).select("key", F.lit(1).alias("hit")).distinct(), "key", "left")
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("families"), F.count("hit").alias("overlaps"))
 
 
 @query("g03_blind_contract", M + "SELECT count(*) AS n, count(*) FILTER (id = '' OR text = '') AS incomplete, count(*) - count(DISTINCT id) AS repeated FROM m")
 def g03(t):
-    return t.m.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("id") == "") | (F.col("text") == "")).alias("incomplete"), (F.count(F.lit(1)) - F.count_distinct("id")).alias("repeated"))
+    return t.texts.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("id") == "") | (F.col("text") == "")).alias("incomplete"), (F.count(F.lit(1)) - F.count_distinct("id")).alias("repeated"))
 
 
 @query("g04_binding", M + "SELECT count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS digest, true AS bound FROM m")
 def g04(t):
-    a, b = dedup.set_digest(t.m, "id"), dedup.set_digest(t.m, "id").select(F.col("digest").alias("other"))
+    a, b = dedup.set_digest(t.texts, "id"), dedup.set_digest(t.texts, "id").select(F.col("digest").alias("other"))
     return a.join(F.broadcast(b)).select("n", "digest", (F.col("digest") == F.col("other")).alias("bound"))
 
 
 @query("g07_ancestry", with_(MESSAGES) + "SELECT id FROM m WHERE source NOT IN ('src0', 'src1') AND text NOT IN (SELECT text FROM m WHERE source IN ('src0', 'src1'))")
 def g07(t):
     out = F.col("source").isin("src0", "src1")
-    return t.m.where(~out).join(t.m.where(out).select("text").distinct(), "text", "left_anti").select("id")
+    return t.texts.where(~out).join(t.texts.where(out).select("text").distinct(), "text", "left_anti").select("id")
 
 
 @query("p05_source_filter", M + "SELECT source NOT IN ('src0', 'src1') AS retained, count(*) AS n FROM m GROUP BY 1")
 def p05(t):
-    return t.m.groupBy((~F.col("source").isin("src0", "src1")).alias("retained")).agg(F.count(F.lit(1)).alias("n"))
+    return t.texts.groupBy((~F.col("source").isin("src0", "src1")).alias("retained")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p06_partition_rows")
@@ -403,7 +404,7 @@ def p06(t):
 
 @query("p10_token_filter", M + "SELECT id FROM m WHERE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) <= 200")
 def p10(t):
-    return t.m.where(tx.word_count(F.col("text")) <= 200).select("id")
+    return t.texts.where(tx.word_count(F.col("text")) <= 200).select("id")
 
 
 @query("p11_stamped_columns", "SELECT o_orderkey, o_orderstatus, 'v1' AS revision FROM orders")
