@@ -215,3 +215,15 @@ def test_workbook_and_digests(spark, tmp_path):
 
     found = readers.verified(spark, str(tmp_path / "b.xlsx"), {"b.xlsx": hashlib.sha256(data).hexdigest()}).first()
     assert found.matches and not readers.verified(spark, str(tmp_path / "b.xlsx"), {}).first().matches
+
+
+def test_written_tables_can_be_removed(spark):
+    import os
+
+    from textgate.storage import discarded, written
+
+    kept, gone = (written(spark.range(5).toDF("x"), n) for n in ("kept", "gone"))
+    path = gone.written_to
+    assert sorted(r.x for r in gone.collect()) == list(range(5)) and os.path.isdir(path.removeprefix("file:"))
+    discarded(gone, None, spark.range(3), gone)
+    assert not os.path.exists(path.removeprefix("file:")) and kept.count() == 5
