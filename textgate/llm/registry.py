@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bagminhash, fingerprints, grace_dedup, html_text, language_id, license_scan, mixing, packing, quality, token_counts
 from .common import fold, read_table
