@@ -126,3 +126,18 @@ def test_recall_over_a_whole_table(spark):
     for i, r in enumerate(rows):
         least[root(i)] = min(least.get(root(i), r[0]), r[0])
     assert of == {r[0]: least[root(i)] for i, r in enumerate(rows)}
+
+
+def test_hot_keys_are_joined_apart(spark):
+    from textgate.llm.common import joined_with_hot
+
+    left = [("hot" if i % 3 == 0 else f"k{i % 4000}", i) for i in range(9000)] + [("none", -1)]
+    sizes = {}
+    for k, _ in left:
+        sizes[k] = sizes.get(k, 0) + 1
+    right = [(k, n, f"v{k}") for k, n in sizes.items() if k != "none"]
+    one, other = spark.createDataFrame(left, "key string, i long"), spark.createDataFrame(right, "key string, n long, v string")
+    got = joined_with_hot(one, other, "key", "n").collect()
+    assert sorted((r.key, r.i, r.n, r.v) for r in got) == sorted((k, i, sizes[k], f"v{k}") for k, i in left if k != "none")
+    assert joined_with_hot(one.where("i > 1000000"), other, "key", "n").collect() == []
+    assert joined_with_hot(one, other.where("n < 0"), "key", "n").collect() == []
