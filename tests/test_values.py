@@ -252,6 +252,9 @@ def test_hamming_pairs_by_brute_force(spark):
     want = {(a, b) for a, x in sigs for b, y in sigs if a < b and (x ^ y).bit_count() <= 6}
     for blocks in (None, 7, 9):
         assert {tuple(r) for r in near.hamming_pairs(df, key="k", blocks=blocks).collect()} == want
+    tied = {r.node: r.root for r in near.components(df, near.ties(df, "k"), "k").collect()}
+    every = {r.node: r.root for r in near.components(df, near.hamming_pairs(df, key="k"), "k").collect()}
+    assert tied == every and len(set(tied.values())) < len(tied) and near.ties(df, "k").count() < len(want)
     left, right = df.where("k < 350"), df.where("k >= 350")
     assert {tuple(r) for r in near.hamming_pairs(left, right, key="k").collect()} == {(a, b) for a, b in want if a < 350 <= b}
 

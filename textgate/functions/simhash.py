@@ -123,5 +123,12 @@ def spread_bits(sig: Column, shares: list[float], blocks: int) -> Column:
     return reduce(Column.bitwiseOR, [F.shiftleft(_block(sig, i, 1), to) for i, to in enumerate(target)])
 
 
+def first_key(differing: Column, radius: int = 6, blocks: int = 8) -> Column:
+    """The place in ``block_keys`` of the first key that two signatures share, from the bits in which they differ."""
+    same = [_block(differing, o, w) == 0 for o, w in _cuts(blocks)]
+    chosen = enumerate(combinations(range(blocks), blocks - radius))
+    return F.coalesce(*[F.when(reduce(Column.__and__, [same[i] for i in c]), F.lit(n)) for n, c in chosen])
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))

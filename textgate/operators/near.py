@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.simhash import best_blocks, block_keys, hamming, simhash64, spread_bits
+from ..functions.simhash import best_blocks, block_keys, first_key, hamming, simhash64, spread_bits
 from ..functions.text import family_skeleton, normalized, short_hash, split_for_family
 from ..storage import written
 
@@ -29,34 +29,78 @@ def signatures(rows: DataFrame, text: str = "text", exact: bool = False, keep: l
     return tagged.drop("sig"), tagged.groupBy("skeleton_hash").agg(F.first("sig").alias("sig"))
 
 
+class Blocks:
+    """How signatures are dealt to blocks: their bits are counted first. Their number and how evenly their
+    bits fall decide on the number of blocks (unless given), and each block gets its share of the bits that
+    tell signatures apart."""
+
+    def __init__(self, sigs: DataFrame, radius: int, blocks: int | None = None):
+        counted = sigs.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.getbit("sig", F.lit(i))).alias(f"b{i}") for i in range(64)]).first()
+        self.shares = [counted[f"b{i}"] or 0.0 for i in range(64)]
+        self.radius = radius
+        self.blocks = blocks or best_blocks(counted.n, sum(4 * p * (1 - p) for p in self.shares), radius)
+
+    def dealt(self, sigs: DataFrame) -> DataFrame:
+        """sig, and ``dealt``: the same bits in another order."""
+        return sigs.withColumn("dealt", spread_bits(F.col("sig"), self.shares, self.blocks))
+
+    def keyed(self, dealt: DataFrame, out: str, *more: str) -> DataFrame:
+        """A row a key: the dealt signature as ``out``, columns ``more``, the key's place and the key."""
+        return dealt.select(F.col("dealt").alias(out), *more, F.posexplode(block_keys(F.col("dealt"), self.radius, self.blocks)).alias("place", "block"))
+
+    def near(self, x: str, y: str) -> Column:
+        return hamming(F.col(x), F.col(y)) <= self.radius
+
+    def once(self, x: str, y: str) -> Column:
+        """Whether the row's key is the first that both signatures share, so that a pair comes out once."""
+        return first_key(F.col(x).bitwiseXOR(F.col(y)), self.radius, self.blocks) == F.col("place")
+
+
 def hamming_pairs(left: DataFrame, right: DataFrame | None = None, key: str = "skeleton_hash", radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """Pairs (a, b) of keys whose signatures differ in at most ``radius`` bits: an equi join on block
     keys, checked exactly. Without ``right``, pairs of one table with a < b, signatures first made
-    distinct so that a popular one is compared once.
-
-    The signatures' bits are counted first. Their number and how evenly their bits fall decide on the
-    number of blocks (unless given), and each block gets its share of the bits that tell them apart.
-    """
+    distinct so that a popular one is compared once. Only signatures go along with the keys; whose they
+    are is looked up for the pairs."""
     first = left.groupBy("sig").agg(F.min(key).alias(key))
     sigs = [first.select("sig")] if right is None else [d.select("sig").distinct() for d in (left, right)]
-    counted = reduce(DataFrame.unionByName, sigs).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.getbit("sig", F.lit(i))).alias(f"b{i}") for i in range(64)]).first()
-    shares = [counted[f"b{i}"] or 0.0 for i in range(64)]
-    blocks = blocks or best_blocks(counted.n, sum(4 * p * (1 - p) for p in shares), radius)
-
-    def side(rows: DataFrame, n: str) -> DataFrame:
-        """Only the signature goes along with its keys; whose it is, is looked up for the pairs."""
-        rows = rows.select(F.col("sig").alias(n), spread_bits(F.col("sig"), shares, blocks).alias("dealt"))
-        return rows.select(n, F.explode(block_keys(F.col("dealt"), radius, blocks)).alias("block"))
-
-    near = hamming(F.col("x"), F.col("y")) <= radius
+    by = Blocks(reduce(DataFrame.unionByName, sigs), radius, blocks)
+    near = by.near("x", "y") & by.once("x", "y")
     near = near & (F.col("x") < F.col("y")) if right is None else near
-    found = side(sigs[0], "x").join(side(sigs[-1], "y"), "block").where(near).select("x", "y").distinct()
-    named = lambda d, sig, n: d.select(F.col("sig").alias(sig), F.col(key).alias(n))
+    other = by.keyed(by.dealt(sigs[-1]), "y").select("y", "block")
+    found = by.keyed(by.dealt(sigs[0]), "x").join(other, "block").where(near).select("x", "y")
+    named = lambda d, x, n: by.dealt(d.select("sig", F.col(key).alias(n))).select(F.col("dealt").alias(x), n)
     if right is not None:
         return found.join(named(left, "x", "a"), "x").join(named(right, "y", "b"), "y").select("a", "b").distinct()
     pairs = found.join(named(first, "x", "a"), "x").join(named(first, "y", "b"), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    same = left.join(first.withColumnRenamed(key, "first"), "sig").where(F.col(key) != F.col("first")).select(F.col("first").alias("a"), F.col(key).alias("b"))
-    return pairs.unionByName(same)
+    return pairs.unionByName(_copies(left, first, key))
+
+
+def _copies(rows: DataFrame, first: DataFrame, key: str) -> DataFrame:
+    """Keys of one signature, tied to the first of them."""
+    return rows.join(first.withColumnRenamed(key, "first"), "sig").where(F.col(key) != F.col("first")).select(F.col("first").alias("a"), F.col(key).alias("b"))
+
+
+def ties(signed: DataFrame, key: str = "skeleton_hash", radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) with the components of ``hamming_pairs``, but not all pairs of a large group.
+
+    First every signature is compared with one of each of its blocks; then only pairs that are still in
+    different components are looked for.
+    """
+    first = written(signed.groupBy("sig").agg(F.min(key).alias(key)), "first")
+    by = Blocks(first, radius)
+    dealt = written(by.dealt(first.select("sig")), "dealt")
+    centres = by.keyed(dealt, "x").groupBy("block").agg(F.min("x").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1").select("block", "y")
+    star = by.keyed(dealt, "x").join(centres, "block").where((F.col("x") != F.col("y")) & by.near("x", "y") & by.once("x", "y"))
+    star = written(star.select(F.col("y").alias("a"), F.col("x").alias("b")), "star")
+    apart = written(dealt.join(components(dealt, star, "dealt").withColumnRenamed("node", "dealt"), "dealt"), "apart")
+    mixed = by.keyed(apart, "x", "root").groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("block")
+    rows = by.keyed(apart, "x", "root").join(mixed, "block", "left_semi")
+    other = rows.select("block", F.col("x").alias("y"), F.col("root").alias("other"))
+    rest = rows.join(other, "block").where((F.col("x") < F.col("y")) & (F.col("root") != F.col("other")) & by.near("x", "y") & by.once("x", "y"))
+    found = star.unionByName(rest.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    named = lambda x, n: by.dealt(first.select("sig", F.col(key).alias(n))).select(F.col("dealt").alias(x), n)
+    pairs = found.toDF("x", "y").join(named("x", "a"), "x").join(named("y", "b"), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.unionByName(_copies(signed, first, key))
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +156,7 @@ def clusters(rows: DataFrame, text: str = "text", radius: int = RADIUS, keep: li
     """Rows (their columns ``keep``, or all) with their cluster: skeleton_hash, root (least skeleton hash of the cluster)."""
     tagged, signed = signatures(rows, text, keep=keep)
     signed = written(signed, "signatures")
-    of = components(signed, hamming_pairs(signed, radius=radius), "skeleton_hash")
+    of = components(signed, ties(signed, radius=radius), "skeleton_hash")
     return tagged.join(of.withColumnRenamed("node", "skeleton_hash"), "skeleton_hash")
 
 
