@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.simhash import best_blocks, block_keys, first_key, hamming, simhash64, spread_bits
@@ -15,6 +15,7 @@ from ..storage import written
 
 RADIUS = 6
 EDGES_IN_ONE_TASK = 500_000
+CENTRES = 16
 
 
 def signatures(rows: DataFrame, text: str = "text", exact: bool = False, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -83,21 +84,24 @@ def _copies(rows: DataFrame, first: DataFrame, key: str) -> DataFrame:
 def ties(signed: DataFrame, key: str = "skeleton_hash", radius: int = RADIUS) -> DataFrame:
     """Pairs (a, b) with the components of ``hamming_pairs``, but not all pairs of a large group.
 
-    First every signature is compared with one of each of its blocks; then only pairs that are still in
-    different components are looked for.
+    First every signature is compared with ``CENTRES`` of each of its blocks, drawn by a hash. Then only
+    pairs that are still in different components are looked for: in each block, the signatures outside of
+    its most frequent component against all of the block.
     """
     first = written(signed.groupBy("sig").agg(F.min(key).alias(key)), "first")
     by = Blocks(first, radius)
     dealt = written(by.dealt(first.select("sig")), "dealt")
-    centres = by.keyed(dealt, "x").groupBy("block").agg(F.min("x").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1").select("block", "y")
-    star = by.keyed(dealt, "x").join(centres, "block").where((F.col("x") != F.col("y")) & by.near("x", "y") & by.once("x", "y"))
-    star = written(star.select(F.col("y").alias("a"), F.col("x").alias("b")), "star")
+    drawn = Window.partitionBy("block").orderBy(F.xxhash64("y", "block"), "y")
+    centres = by.keyed(dealt, "y").select("block", "y").withColumn("nth", F.row_number().over(drawn)).where(F.col("nth") <= CENTRES)
+    star = by.keyed(dealt, "x").join(centres, "block").where((F.col("x") != F.col("y")) & by.near("x", "y"))
+    star = written(star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "star")
     apart = written(dealt.join(components(dealt, star, "dealt").withColumnRenamed("node", "dealt"), "dealt"), "apart")
-    mixed = by.keyed(apart, "x", "root").groupBy("block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("block")
-    rows = by.keyed(apart, "x", "root").join(mixed, "block", "left_semi")
+    per = by.keyed(apart, "x", "root").groupBy("block", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = per.groupBy("block").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("block", F.col("m.root").alias("most"))
+    rows = by.keyed(apart, "x", "root").join(most, "block")
     other = rows.select("block", F.col("x").alias("y"), F.col("root").alias("other"))
-    rest = rows.join(other, "block").where((F.col("x") < F.col("y")) & (F.col("root") != F.col("other")) & by.near("x", "y") & by.once("x", "y"))
-    found = star.unionByName(rest.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    rest = rows.where("root <> most").join(other, "block").where((F.col("root") != F.col("other")) & by.near("x", "y"))
+    found = star.unionByName(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     named = lambda x, n: by.dealt(first.select("sig", F.col(key).alias(n))).select(F.col("dealt").alias(x), n)
     pairs = found.toDF("x", "y").join(named("x", "a"), "x").join(named("y", "b"), "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.unionByName(_copies(signed, first, key))
