@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.simhash import best_blocks, block_keys, first_key, hamming, simhash64, spread_bits
 from ..functions.text import family_skeleton, normalized, short_hash, split_for_family
-from ..storage import written
+from ..storage import discarded, written
 
 RADIUS = 6
 EDGES_IN_ONE_TASK = 500_000
@@ -94,7 +94,9 @@ def ties(signed: DataFrame, key: str = "skeleton_hash", radius: int = RADIUS) ->
     drawn = Window.partitionBy("block").orderBy(F.xxhash64("y", "block"), "y")
     centres = by.keyed(dealt, "y").select("block", "y").withColumn("nth", F.row_number().over(drawn)).where(F.col("nth") <= CENTRES)
     star = by.keyed(dealt, "x").join(centres, "block").where((F.col("x") != F.col("y")) & by.near("x", "y"))
-    star = written(star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "star")
+    # two links a signature are enough here: what they leave apart is looked for below
+    star = star.groupBy("x").agg(F.array_distinct(F.array(F.min("y"), F.max("y"))).alias("y"))
+    star = written(star.select(F.col("x").alias("a"), F.explode("y").alias("b")), "star")
     apart = written(dealt.join(components(dealt, star, "dealt").withColumnRenamed("node", "dealt"), "dealt"), "apart")
     per = by.keyed(apart, "x", "root").groupBy("block", "root").agg(F.count(F.lit(1)).alias("n"))
     most = per.groupBy("block").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("block", F.col("m.root").alias("most"))
@@ -143,13 +145,15 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "node", in_one_ta
         return nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     links = edges.select(F.col("a").alias("x"), F.col("b").alias("y"))
     links = written(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct(), "links")
-    labels = written(links.select(F.col("x").alias("node")).distinct().withColumn("root", F.col("node")), "labels")
+    labels = last = written(links.select(F.col("x").alias("node")).distinct().withColumn("root", F.col("node")), "labels")
     while True:
         heard = links.join(labels, links["y"] == labels["node"]).groupBy("x").agg(F.min("root").alias("heard"))
         least = labels.join(heard, labels["node"] == heard["x"]).select("node", "root", F.least("root", "heard").alias("near"))
         jump = labels.select(F.col("node").alias("near"), F.col("root").alias("far"))
         new = written(least.join(jump, "near").select("node", F.least("near", "far").alias("new"), "root"), "labels")
         changed = new.where("new <> root").limit(1).count()
+        discarded(last)
+        last = new
         labels = new.select("node", F.col("new").alias("root"))
         if not changed:
             break
