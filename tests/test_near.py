@@ -119,3 +119,27 @@ def test_component_subset_sees_every_source(spark, tmp_path):
     got = {r.source: r.n for r in plans.QUERIES["t06_component_subset"](spark, path).collect()}
     assert got == {s: sizes[s] for s in nearest_subset(sizes, 0.2, "partition")}
     assert abs(sum(got.values()) - 0.2 * sum(sizes.values())) <= 4
+
+
+def broadcasts(df):
+    """What the plan would send whole, although every table here is small enough for Spark."""
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_block_joins_are_never_sent_whole(spark):
+    sigs = spark.range(200).select(F.col("id").alias("k"), F.xxhash64("id").alias("sig"))
+    assert broadcasts(sigs.join(sigs, "k")) == 1
+    assert broadcasts(near.hamming_pairs(sigs, key="k")) == 0
+    assert broadcasts(near.hamming_pairs(sigs, sigs.where("k % 8 = 1"), key="k")) == 0
+
+
+def test_pairs_come_once_by_their_first_key(spark):
+    from textgate.functions import simhash
+
+    r = random.Random(4)
+    rows = [(r.getrandbits(63) & r.getrandbits(63) & r.getrandbits(63) & r.getrandbits(63),) for _ in range(150)] + [(0,)]
+    for blocks in (7, 9, 10):
+        keys = spark.createDataFrame(rows, "d long").select("d", F.posexplode(simhash.block_keys(F.lit(0).cast("long"), 6, blocks)).alias("place", "zero"), simhash.block_keys(F.col("d"), 6, blocks).alias("own"))
+        shared = keys.where(F.get("own", F.col("place")) == F.col("zero"))
+        both = shared.select((simhash.first_key(F.col("d"), 6, blocks) == F.col("place")).alias("x"), simhash.is_first_key(F.col("d"), F.col("place"), 6, blocks).alias("y")).collect()
+        assert {(True, True), (False, False)} == {tuple(b) for b in both}
