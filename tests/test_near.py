@@ -143,3 +143,13 @@ def test_pairs_come_once_by_their_first_key(spark):
         shared = keys.where(F.get("own", F.col("place")) == F.col("zero"))
         both = shared.select((simhash.first_key(F.col("d"), 6, blocks) == F.col("place")).alias("x"), simhash.is_first_key(F.col("d"), F.col("place"), 6, blocks).alias("y")).collect()
         assert {(True, True), (False, False)} == {tuple(b) for b in both}
+
+
+def test_ties_and_components_are_never_sent_whole(spark, monkeypatch):
+    sent, write = [], near.written
+    monkeypatch.setattr(near, "written", lambda df, name: (sent.append(broadcasts(df)), write(df, name))[1])
+    sigs = write(spark.range(60).select(F.col("id").alias("k"), F.expr("shiftleft(id div 4, 20) + id % 4").alias("sig")), "sigs")
+    for most in (near.EDGES_IN_ONE_TASK, 0):
+        found = near.components(sigs, near.ties(sigs, "k"), "k", most)
+        assert broadcasts(found) == 0 and len(sent) > 4 and not any(sent)
+        assert {r.root for r in found.collect()} == {0}

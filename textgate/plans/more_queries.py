@@ -57,7 +57,7 @@ def j10o(t):
 @query("j11_clusters", with_(SIGS, "e AS (SELECT x.k AS a, y.k AS b FROM p x JOIN p y ON x.k <> y.k AND bit_count(xor(x.sig, y.sig)) <= 6)").replace("WITH", "WITH RECURSIVE", 1) + ", r AS (SELECT k AS node, k AS root FROM p UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node")
 def j11(t):
     s = sigs(t)
-    return near.components(s, near.hamming_pairs(s, key="k"), "k")
+    return near.components(s, near.ties(s, "k"), "k")
 
 
 @query("j11_near_clusters")
