@@ -69,7 +69,7 @@ def j11n(t):
 def a04(t):
     # texts are signed before labels are joined to what is left of them
     found = near.clusters(t.texts.select("id", "text"), keep=["id"]).withColumn("split", tx.split_for_family(F.col("id")))
-    return near.representatives(found.join(t.m.select("id", "label"), "id"), "label", "split", "id", ["id", "split"]).select("id", "family_id", "split", "n")
+    return near.representatives(found.join(near.merged(t.m.select("id", "label")), "id"), "label", "split", "id", ["id", "split"]).select("id", "family_id", "split", "n")
 
 
 @query("k03_near_quarantine")
