@@ -153,3 +153,20 @@ def test_ties_and_components_are_never_sent_whole(spark, monkeypatch):
         found = near.components(sigs, near.ties(sigs, "k"), "k", most)
         assert broadcasts(found) == 0 and len(sent) > 4 and not any(sent)
         assert {r.root for r in found.collect()} == {0}
+
+
+def test_heads_of_any_shape_are_found(spark, tmp_path):
+    """Heads without two whole words: line ends, several blanks, blanks in front, long words, short and empty texts."""
+    heads = [
+        (0, "one\ntwo three four five"), (1, "six  seven eight"), (2, "  leading blanks here too"), (3, "x" * 60), (4, "日本語の文章には空白がない"), (5, "two words"),
+        (6, "ab"), (7, ""), (8, "tab\tbed words in a row"), (9, None), (10, "😀😀 wide"), (11, "plain words that go on for more than forty characters"), (12, " "),
+    ]
+    texts = [f"before {h} after" for _, h in heads if h] + [f"glued{h[:40]}on" for _, h in heads if h] + [h for _, h in heads] + ["nothing", "tw", "one two three four five"]
+    for k, chosen in enumerate([heads, [h for h in heads if h[0] in (0, 11)], [h for h in heads if h[0] in (1, 4)], heads[9:10]]):
+        path = folder(spark, tmp_path / str(k), list(enumerate(["" if x is None else x for x in texts])), spark.createDataFrame(chosen, "item_id long, text string").collect() if len(chosen) > 1 else [(9, "no such text")])
+        want = {}
+        for i, h in chosen:
+            if h is not None:
+                want.setdefault(f"file{i % 3}", set()).update(j for j, x in enumerate(texts) if h[:40] in (x or ""))
+        got = plans.QUERIES["j15_overlap_per_file"](spark, path).collect()
+        assert {r.file: r.n for r in got} == {f: len(x) for f, x in want.items() if x}

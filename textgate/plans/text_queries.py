@@ -290,17 +290,27 @@ def j09(t):
     return dedup.families_elsewhere(family(t.texts), "family_id", "source", "src0").groupBy("family_id").agg(F.min("id").alias("id"))
 
 
+#: Characters by which heads without whole words are looked up.
+GRAM = 8
+
+
 @query("j15_overlap_per_file", with_(MESSAGES, BENCHMARK, "p AS (SELECT id, substr(text, 1, 40) AS head, 'file' || (CAST(id AS BIGINT) % 3) AS file FROM b)") + """SELECT file, count(DISTINCT m.id) AS n
   FROM m JOIN p ON contains(m.text, p.head) GROUP BY file""")
 def j15(t):
-    # each text looks the protected heads up at every place by their first words; adaptive execution sends them if they are small
-    heads = t.b.select(F.substring("text", 1, 40).alias("head"), F.concat(F.lit("file"), (F.col("id").cast("long") % 3).cast("string")).alias("file"))
-    heads = heads.withColumn("first", F.regexp_extract("head", r"^(\S+) ", 1)).withColumn("second", F.regexp_extract("head", r"^\S+ (\S+) ", 1))
-    words = t.texts.select("id", "text", F.split("text", " ").alias("w"))
-    pairs = words.select("id", "text", F.explode(F.array_distinct(F.zip_with("w", F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))).alias("p"))
-    # the place before a first word may be the end of a longer word or line
-    pairs = pairs.select("id", "text", F.regexp_extract("p.a", r"(\S*)$", 1).alias("first"), F.regexp_extract("p.b", r"^(\S*)", 1).alias("second"))
-    hit = pairs.join(heads, [F.endswith(pairs["first"], heads["first"]), pairs["second"] == heads["second"]]).where(F.contains("text", "head"))
+    # each text looks the protected heads up by what any text with the head has: two whole words, one, or (heads with one
+    # blank at most) the head's first characters at every place; adaptive execution sends the heads if they are small
+    heads = t.b.select(F.substring("text", 1, 40).alias("head"), F.concat(F.lit("file"), (F.col("id").cast("long") % 3).cast("string")).alias("file")).where("head IS NOT NULL")
+    parts, gram = F.split("head", " "), F.least(F.length("head"), F.lit(GRAM))
+    pair = F.concat_ws(" ", F.get(parts, F.lit(1)), F.get(parts, F.lit(2)))
+    heads = heads.withColumn("kind", F.when(F.size(parts) > 3, -2).when(F.size(parts) == 3, -1).otherwise(gram))
+    heads = heads.withColumn("key", F.when(F.col("kind") == -2, pair).when(F.col("kind") == -1, F.get(parts, F.lit(1))).otherwise(F.substring("head", 1, GRAM)))
+    kinds = sorted(r.kind for r in heads.select("kind").distinct().collect())  # ten at most
+    after = F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))
+    keys = {-2: lambda: F.zip_with("w", after, lambda a, b: F.concat(a, F.lit(" "), b)), -1: lambda: F.col("w")}
+    found = [keys[k]() for k in kinds if k < 0] + ([tx.grams(F.col("text"), [k for k in kinds if k >= 0])] if kinds and kinds[-1] >= 0 else [])
+    words = t.texts.where("text IS NOT NULL").select("id", "text", F.split("text", " ").alias("w"))
+    pairs = words.select("id", "text", F.explode(F.array_distinct(F.flatten(F.array(*found))) if found else F.lit(None).cast("array<string>")).alias("key"))
+    hit = pairs.join(heads, "key").where(F.contains("text", "head"))
     return hit.groupBy("file").agg(F.count_distinct("id").alias("n"))
 
 
