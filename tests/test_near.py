@@ -170,3 +170,8 @@ def test_heads_of_any_shape_are_found(spark, tmp_path):
                 want.setdefault(f"file{i % 3}", set()).update(j for j, x in enumerate(texts) if h[:40] in (x or ""))
         got = plans.QUERIES["j15_overlap_per_file"](spark, path).collect()
         assert {r.file: r.n for r in got} == {f: len(x) for f, x in want.items() if x}
+
+
+def test_planted_queries_send_no_table_whole(spark):
+    for name in ("j10_near_overlap", "j10_hamming_pairs", "j14_split_leaks"):
+        assert broadcasts(plans.QUERIES[name](spark, "/root/testdata/sf0.001")) == 0, name

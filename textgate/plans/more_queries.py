@@ -51,7 +51,7 @@ def j10(t):
 @query("j10_near_overlap", with_(SIGS) + "SELECT DISTINCT x.k AS a FROM p x JOIN p y ON bit_count(xor(x.sig, y.sig)) <= 6 WHERE x.k % 2 = 0 AND y.k % 8 = 1")
 def j10o(t):
     s = sigs(t)
-    return near.hamming_pairs(s.where("k % 2 = 0"), s.where("k % 8 = 1"), key="k").select("a").distinct()
+    return near.near_any(s.where("k % 2 = 0"), s.where("k % 8 = 1"), "k").withColumnRenamed("k", "a")
 
 
 @query("j11_clusters", with_(SIGS, "e AS (SELECT x.k AS a, y.k AS b FROM p x JOIN p y ON x.k <> y.k AND bit_count(xor(x.sig, y.sig)) <= 6)").replace("WITH", "WITH RECURSIVE", 1) + ", r AS (SELECT k AS node, k AS root FROM p UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node")
