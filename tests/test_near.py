@@ -175,3 +175,8 @@ def test_heads_of_any_shape_are_found(spark, tmp_path):
 def test_planted_queries_send_no_table_whole(spark):
     for name in ("j10_near_overlap", "j10_hamming_pairs", "j14_split_leaks"):
         assert broadcasts(plans.QUERIES[name](spark, "/root/testdata/sf0.001")) == 0, name
+
+
+def test_leaks_send_no_table_whole(spark, tmp_path):
+    path = folder(spark, tmp_path, [(i, x[1]) for i, x in enumerate(messages(20))], [(0, "x")])
+    assert broadcasts(plans.QUERIES["j14_message_leaks"](spark, path)) == 0
