@@ -11,7 +11,7 @@ from ..functions import privacy, simhash
 from ..functions import signals as sg
 from ..functions import text as tx
 from ..functions import verdicts as vd
-from ..operators import dedup, dialogues, near, sampling
+from ..operators import dedup, dialogues, near, sampling, tiles
 from ..sources import readers, sinks
 from ..storage import shared_dir
 from ..streaming import streams
@@ -97,7 +97,7 @@ def j13(t):
 
 @query("j14_split_leaks", with_(SIGS) + "SELECT x.k AS a, y.k AS b FROM p x JOIN p y ON x.k < y.k AND x.k % 3 <> y.k % 3 AND bit_count(xor(x.sig, y.sig)) <= 6")
 def j14(t):
-    return near.hamming_pairs(sigs(t), key="k").where("a % 3 <> b % 3")
+    return tiles.pairs(sigs(t), "k", near.RADIUS).where("a % 3 <> b % 3")
 
 
 @query("j10_message_overlap")
