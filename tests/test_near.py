@@ -180,3 +180,28 @@ def test_planted_queries_send_no_table_whole(spark):
 def test_leaks_send_no_table_whole(spark, tmp_path):
     path = folder(spark, tmp_path, [(i, x[1]) for i, x in enumerate(messages(20))], [(0, "x")])
     assert broadcasts(plans.QUERIES["j14_message_leaks"](spark, path)) == 0
+
+
+def test_near_leaks_are_counted_without_pairs(spark, tmp_path):
+    texts = [(i, x[1]) for i, x in enumerate(messages(60))] + [(100 + i, BASE) for i in range(40)] + [(200, "a lone text about bridges and the weather in the north")]
+    path = folder(spark, tmp_path, texts, [(0, "x")])
+    ids = spark.createDataFrame([(str(i), x) for i, x in texts], "id string, text string")
+    sig, split = signed(ids), {x.id: x.s for x in ids.select("id", near.split_for_family(F.col("id")).alias("s")).collect()}
+    links = {i: sum(split[i] != split[j] and near_rows(sig, i, j) for j in sig) for i in sig}
+    want = sorted(("near leak", split[i], i, f"{sig[i][1]}: {n} near rows of other splits") for i, n in links.items() if n)
+    found = plans.QUERIES["g01_near_leaks"](spark, path)
+    assert sorted(map(tuple, found.collect())) == want and len({w[3] for w in want}) > 4
+    assert broadcasts(found) == 0
+
+
+def test_links_are_those_of_all_pairs(spark):
+    rows = messages(50)
+    rows += rows[:9] + [("000001", BASE, "SAFE", "train"), ("000001", BASE, "SAFE", "test"), ("000001", "another text of the same id", "SAFE", "dev"), ("000002", BASE, "SAFE", "none"), ("000003", None, "SAFE", "dev")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    splits = ("train", "dev", "validation", "test")
+    want = {}
+    for p in near.split_leaks(df.where(F.col("split").isin(*splits)).distinct()).collect():
+        for own, other in (((p.id_a, p.split_a), (p.id_b, p.split_b)), ((p.id_b, p.split_b), (p.id_a, p.split_a))):
+            want.setdefault(own, set()).add(other)
+    got = near.split_links(df, splits).collect()
+    assert {(r.id, r.split): r.links for r in got} == {k: len(v) for k, v in want.items()} and len(got) == len(want)
