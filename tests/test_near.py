@@ -205,3 +205,11 @@ def test_links_are_those_of_all_pairs(spark):
             want.setdefault(own, set()).add(other)
     got = near.split_links(df, splits).collect()
     assert {(r.id, r.split): r.links for r in got} == {k: len(v) for k, v in want.items()} and len(got) == len(want)
+
+
+def test_pairs_of_equal_signatures_are_all_there(spark):
+    """Four rows of one signature and three of one near it, keys of either order, and a key that comes twice."""
+    rows = [(k, 5) for k in (9, 2, 40, 7)] + [(k, 4) for k in (8, 1, 30)] + [(100, 1 << 40), (100, (1 << 40) + 1), (50, (1 << 40) - 1), (60, None)]
+    want = sorted((a, b) for a, x in rows for b, y in rows if a < b and x is not None and y is not None and (x ^ y).bit_count() <= 6)
+    got = near.hamming_pairs(spark.createDataFrame(rows, "k long, sig long"), key="k").collect()
+    assert sorted(map(tuple, got)) == want and len(want) == 35
