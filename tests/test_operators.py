@@ -1,3 +1,5 @@
+import math
+import time
 import zipfile
 from collections import defaultdict
 
@@ -227,3 +229,24 @@ def test_written_tables_can_be_removed(spark):
     assert sorted(r.x for r in gone.collect()) == list(range(5)) and os.path.isdir(path.removeprefix("file:"))
     discarded(gone, None, spark.range(3), gone)
     assert not os.path.exists(path.removeprefix("file:")) and kept.count() == 5
+
+
+def test_exact_mcnemar_of_many_rows():
+    """The double next to the exact value where whole numbers end, and counts of which whole numbers never end."""
+    began = time.process_time()
+    for n in (1, 2, 9, 300, ev.WHOLE_NUMBERS - 1, ev.WHOLE_NUMBERS, ev.WHOLE_NUMBERS + 1, 30_000):
+        total = term = 1
+        ks = {0, 1, n // 3, max(0, n // 2 - 200), n // 2 - 40, (n - 1) // 2, n // 2} - {-1} if n > 99 else set(range(n // 2 + 1))
+        for k in range(n // 2 + 1):
+            if k in ks:
+                want = min(1.0, 2 * total / 2**n)
+                assert ev.exact_mcnemar(k, n - k) == ev.exact_mcnemar(n - k, k) == want, (n, k)
+            term = term * (n - k) // (k + 1)
+            total += term
+    for n in (10**6, 10**9):  # next to the normal distribution, by half a row
+        z = 1.5
+        k = round(n / 2 - z * math.sqrt(n) / 2)
+        assert ev.exact_mcnemar(k, n - k) == pytest.approx(math.erfc((n / 2 - k - 0.5) / math.sqrt(n / 2)), rel=1e-5)
+    assert ev.exact_mcnemar(0, 10**9) == 0.0 and ev.exact_mcnemar(0, 0) == ev.exact_mcnemar(10**9, 10**9) == 1.0
+    assert (ev.exact_mcnemar(0, 5), ev.exact_mcnemar(11, 2)) == (0.0625, 0.0224609375)
+    assert time.process_time() - began < 20
