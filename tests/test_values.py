@@ -497,3 +497,19 @@ def test_features_and_poisson(spark, rows):
     got = spark.createDataFrame([("Hi, 123 aab!",)], "text string").select(*[c.alias(n) for n, c in tx.lexical_features(text).items()]).first().asDict()
     assert (got["longest_digit_run"], got["exclamations"], got["n_words"]) == (3, 1, 3)
     assert vd.LABELS == ("SAFE", "UNCERTAIN", "SCAM") and ev.exact_mcnemar(3, 3) == 1
+
+
+def test_calls_are_files_that_tasks_write_and_read(spark, tmp_path, monkeypatch):
+    """As many calls as files, a call without id among them, and texts of any kind; the driver sees folders only."""
+    n = 4000
+    rows = [(i, k, "user", f"é\u2028 {i}\n") for i in range(n) for k in range(1 + i % 3)] + [(None, 1, None, None), (None, None, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    kept = []
+    monkeypatch.setattr(readers, "read_files", lambda s, path, f=readers.read_files: (kept.append(path), f(s, path))[1])
+    found = plans.QUERIES["s16_calls_by_stem"](spark, str(tmp_path))
+    got = {r.stem: (r.turns, r.task) for r in found.collect()}
+    assert got == {str(i): (1 + i % 3, f"task{i % 3}" if i % 10 else None) for i in range(n)} | {None: (2, None)} and found.count() == n + 1
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    names = [(f.path.rsplit("/", 1)[1], f.content) for f in readers.read_files(spark, kept[0]).collect()]
+    assert len(names) == n + 1 and (".json", '{"segments":[{"role":"user","text":"x"},{"turn":1}]}') in names
+    assert readers.read_files(spark, f"{kept[0]}/none").count() == 0

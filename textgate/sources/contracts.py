@@ -117,11 +117,12 @@ def call_problems(lines: DataFrame, roles: tuple[str, ...]) -> DataFrame:
     return found.unionByName(twice.select("file_name", F.lit("repeated name").alias("problem")))
 
 
-def by_stem(left: DataFrame, right: DataFrame, stem: str = r"([^/]+)\.[^./]+$") -> DataFrame:
+def by_stem(left: DataFrame, right: DataFrame, stem: str = r"([^/]+)\.[^./]+$", path: str = "_metadata.file_path") -> DataFrame:
     """Two tables read from files, joined on the part of the files' paths that ``stem`` captures: stem, and
-    the columns of both; right's are null where it has no such file."""
-    name = lambda d: d.withColumn("stem", F.regexp_extract(F.col("_metadata.file_path"), stem, 1))
-    return name(left).join(name(right), "stem", "left")
+    the columns of both but ``path``; right's are null where it has no such file. Never by broadcast: how many files there
+    are is not known before."""
+    name = lambda d: d.withColumn("stem", F.regexp_extract(F.col(path), stem, 1)).drop(path)
+    return name(left).join(name(right).hint("merge"), "stem", "left")
 
 
 def reference_union(spark: SparkSession, paths: list[str], schema: str, excluded: tuple[str, ...] = ()) -> DataFrame:

@@ -7,10 +7,17 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import located, opened
+
+#: Characters of files that a task holds at a time.
+AT_ONCE = 1 << 22
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path or pattern matches anything, asked of the file system that the path names."""
@@ -162,3 +169,32 @@ def cached_scores(spark: SparkSession, path: str, identity: str) -> DataFrame |
         return None
     rows = spark.read.parquet(path).where(F.col("identity") == identity)
     return rows.drop("identity") if rows.limit(1).count() else None
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of all files below a folder but those that begin with "_". The driver lists the folder itself; what
+    is in its folders is listed and read by tasks, which hold ``AT_ONCE`` characters at a time."""
+    where = located(spark, path)
+    store, top = opened(where)
+    first = sorted((f.path,) for f in store.get_file_info(fs.FileSelector(top, allow_not_found=True)) if not f.base_name.startswith("_"))
+    tasks = max(1, min(len(first), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = opened(where)
+        names, contents, held = [], [], 0
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                own = store.get_file_info(at)
+                for f in [own] if own.is_file else store.get_file_info(fs.FileSelector(at, recursive=True)):
+                    if f.is_file and not f.base_name.startswith("_"):
+                        with store.open_input_stream(f.path) as file:
+                            contents.append(file.read().decode("utf-8", "replace"))
+                        names.append(f.path)
+                        held += len(contents[-1])
+                    if held > AT_ONCE:
+                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.string())], names=["path", "content"])
+                        names, contents, held = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.string())], names=["path", "content"])
+
+    folders = spark.createDataFrame(first, "at string").repartition(tasks, "at")
+    return folders.mapInArrow(per_batch, "path string, content string")

@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..storage import located, opened
+
+#: Folders that files of their own are dealt to.
+FOLDERS = 1024
+
 
 def write_jsonl(rows: DataFrame, path: str) -> int:
     """JSON Lines; returns the rows written, counted while they are."""
@@ -103,3 +113,31 @@ def workbook(sheets: dict[str, list[tuple[str, ...]]]) -> bytes:
         f'<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>'.encode()
     )
     return zipped(members)
+
+
+def write_files(rows: DataFrame, path: str) -> int:
+    """Each row's ``content`` as a file of its own, named by its ``name``, and how many there are.
+
+    Tasks write them, into ``FOLDERS`` folders by a hash of the name: nothing a file goes to the driver, and none is moved
+    by it. A file takes its name when it is whole, so that a task that runs again writes the same files.
+    """
+    where = located(rows.sparkSession, path)
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = opened(where)
+        made: set[str] = set()
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if "/" in name or name[:1] in ("", "_"):
+                    raise ValueError(f"not a file's name: {name!r}")
+                folder = f"{top}/{zlib.crc32(name.encode()) % FOLDERS:04d}"
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                part = f"{folder}/_{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as f:
+                    f.write(content.encode())
+                store.move(part, f"{folder}/{name}")
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]}, pa.schema([("n", pa.int64())]))
+
+    return rows.select("name", "content").mapInArrow(per_batch, "n long").groupBy().sum("n").first()[0] or 0
